@@ -75,8 +75,9 @@ def pigeonring_pairs(nodes: DataFrame) -> DataFrame:
         key(i, segment((i + 1) % 3).bitwiseXOR(F.lit(flip).cast("long")))
         for i in starts for flip in (0, *(1 << b for b in range(SEGMENTS[(i + 1) % 3][1])))
     ])).alias("key"))
+    # by a hint: the planner takes the exploded sides to be as small as the fingerprints and would broadcast one
     return (
-        exact.select(F.col("fp").alias("u"), "key").join(near.select(F.col("fp").alias("v"), "key"), "key")
+        exact.select(F.col("fp").alias("u"), "key").hint("merge").join(near.select(F.col("fp").alias("v"), "key"), "key")
         .filter((F.col("u") != F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= DISTANCE))
         .select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
     )
