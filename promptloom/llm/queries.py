@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from promptloom.llm import exact_dedup, html_extract, language_id, line_dedup, mixing, packing, pii, simhash, topk
+from promptloom.llm import exact_dedup, html_extract, language_id, line_dedup, mixing, packing, pii, simhash, suffix_dedup, topk
 
 
 def _vocabulary(name: str = "word_bpe_49k.json") -> str:
@@ -25,6 +25,10 @@ def op2_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(_table(spark, sf_dir, "embeddings"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.substring_dedup(_table(spark, sf_dir, "documents"))
+
+
 def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extract.main_text(_table(spark, sf_dir, "pages"))
 
@@ -56,6 +60,7 @@ def op10_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_mix_sources": op1_mix_sources,
     "op2_exact_top_k": op2_exact_top_k,
+    "op3_suffix_dedup": op3_suffix_dedup,
     "op4_html_main_text": op4_html_main_text,
     "op5_exact_dedup": op5_exact_dedup,
     "op6_simhash_near_dedup": op6_simhash_near_dedup,
