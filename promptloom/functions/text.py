@@ -59,7 +59,7 @@ def replace_occurrences(text: Column, phrase: Column, value: Column, count: int
     if count == 0:
         return F.replace(text, phrase, value)
     parts = F.call_function("split", text, F.concat(F.lit(r"\Q"), F.replace(phrase, F.lit(r"\E"), F.lit(r"\E\\E\Q")), F.lit(r"\E")), F.lit(count + 1))
-    return F.when(F.length(phrase) > 0, F.array_join(parts, value)).otherwise(text)
+    return F.when(F.length(phrase) > 0, F.call_function("array_join", parts, value)).otherwise(text)
 
 
 def prompt_prefix(system: Column, user: Column) -> Column:
