@@ -125,7 +125,7 @@ def observe(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[in
             continue
         whole = not (a and (text[a - 1].isalnum() or text[a - 1] in "_@")) and not (b < len(text) and (text[b].isalnum() or text[b] in "_@"))
         if whole and FEWEST <= len(_NOT_DIGIT.sub("", text[a:b])) <= MOST:
-            seen.append((-1, a, b))
+            seen.append((-1, a - (a > 0 and text[a - 1] == "+"), b))
     out = []
     for k, a, b in seen:
         if b - a <= 100 and (p := _patterns(text, a, b, _shape(text[a:b]))):
@@ -179,6 +179,6 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     out = rows.select("rid", "doc_id", "base_sha256", "base").join(added, "rid", "left").withColumn(
         "all", F.array_sort(F.concat("base", F.coalesce("more", F.expr(f"cast(array() as {one})"))))
     )
-    count = [F.size(F.filter("base", lambda x, k=k: x["k"] == k)).cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
+    count = [F.expr(f"size(filter(base, x -> x.k = {k}))").cast("long").alias(f"n_{n}") for k, n in enumerate(KINDS)]
     text_of = F.array_join(F.transform("all", lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, KINDS)), x["k"] + 1), x["s"].cast("string"), x["e"].cast("string"))), ",")
     return out.select("doc_id", *count, "base_sha256", text_of.alias("spans"))
