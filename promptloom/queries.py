@@ -364,7 +364,7 @@ def json_prompt_shapes(spark, sf_dir):
     return _t(spark, sf_dir, "events").select("event_id", F.explode(F.from_json("props", "map<string,string>")).alias("key", "value"))
 
 
-_PAIR = "documents d JOIN benchmark b ON d.doc_id = b.item_id"
+_PAIR = "documents d JOIN benchmark b ON b.item_id = d.doc_id % (SELECT count(*) FROM benchmark)"
 _DT, _BT = (_TOKENS.format(x) for x in ("d.text", "b.text"))
 
 
@@ -378,8 +378,10 @@ def token_jaccard(spark, sf_dir):
 
 
 def _doc_item(spark, sf_dir) -> DataFrame:
-    items = _t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("doc_id"), F.col("text").alias("item"))
-    return _t(spark, sf_dir, "documents").select("doc_id", "text").join(items, "doc_id")
+    """Every document with one of the benchmark's items."""
+    items = _t(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("item"))
+    docs = _t(spark, sf_dir, "documents").select("doc_id", "text", F.pmod("doc_id", F.lit(items.count())).alias("item_id"))
+    return docs.join(items, "item_id")
 
 
 @query("""
