@@ -34,10 +34,9 @@ def identifier(chunk: Column, salt: int) -> Column:
     return F.array(F.xxhash64(chunk, F.lit(salt)), F.xxhash64(F.lit(salt), chunk))
 
 
-def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: bool = False,
+def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
                 make_id: Callable[[Column, int], Column] = identifier, salts: int = 8) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256; with keep=True all columns of docs in
-    a struct `row` too.
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, rid (the row's number in the scan).
 
     Texts are equal when they are identical without space, tab, LF, VT, FF and CR. Of equal texts the one with the
     most code points before that stays, then the smallest doc_id (null last). Null counts as empty, and all empty
@@ -45,7 +44,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     are ignored, whatever their names."""
     base = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("n"), normalized(F.col(text)).alias("norm"),
-        *([F.struct(*docs.columns).alias("row")] if keep else []),
+        F.monotonically_increasing_id().alias("rid"),
     )
     for salt in range(salts):
         ids = F.flatten(F.transform(F.col("parts"), lambda c: make_id(c, salt)))  # noqa: B023
@@ -60,21 +59,23 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", kee
     rows = materialize(
         base.withColumn("parts", chunks(F.col("norm"))).select(
             "doc_id", "n", F.sha2(F.col("norm"), 256).alias("text_sha256"), ids.alias("recipe"),
-            F.monotonically_increasing_id().alias("rid"), *(["row"] if keep else []),
+            "rid",
         ),
         "recipes",
     )
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("rid").alias("r")))
     groups = rows.groupBy("recipe").agg(F.count("*").alias("group_size"), best.alias("best"))
     return attach(rows, groups, "recipe", "group_size", rows.count()).select(
-        "doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.r")).alias("kept"), "text_sha256",
-        *(["row"] if keep else []),
+        "doc_id", F.col("best.d").alias("keep_id"), "group_size", (F.col("rid") == F.col("best.r")).alias("kept"), "text_sha256", "rid",
     )
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, in the columns of docs."""
-    return exact_dedup(docs, keep=True, **options).filter("kept").select("row.*")
+    """The rows of docs that stay, in the columns of docs, which must be a stored table: it is scanned again, and rows
+    are told by their place in the scan."""
+    gone = materialize(exact_dedup(docs, **options).filter("not kept").select("rid"), "dropped")
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    return rows.join(gone, "rid", "left_anti").select("row.*")
 
 
 ORACLE_SQL = r"""

@@ -68,23 +68,21 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", doc_id: str
     size = word_count(F.col(text))
     rows = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.col(source).alias("source"), size.alias("size"),
-        *([F.struct(*docs.columns).alias("row")] if keep else []),
+        # a null source has a key of its own; window and join have the same keys, so rows move once
+        F.coalesce(F.concat(F.lit("s"), source), F.lit("")).alias("__s"), *([F.struct(*docs.columns).alias("row")] if keep else []),
     ).withColumn(
         "__class", F.floor(F.log2(F.col("size") + 1) * 8).cast("int")
     ).withColumn(
         "__bucket", F.pmod(F.conv(F.substring(F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 1, 6), 16, 10).cast("int"), F.lit(BUCKETS))
     )
-    groups = rows.groupBy("source", "__class", "__bucket").agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))
+    groups = rows.groupBy("source", "__s", "__class", "__bucket").agg(F.count("*").alias("__n"), F.sum("size").alias("__words"))
     ahead = Window.partitionBy("source").orderBy("__class", "__bucket").rowsBetween(Window.unboundedPreceding, -1)
     places = groups.withColumn("__ahead", F.coalesce(F.sum("__n").over(ahead), F.lit(0)))
     goal = targets(groups.groupBy("source").agg(F.sum("__words").alias("source_size")), weights, share, ceiling)
-    places = places.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(
-        F.col("p.source").alias("__s"), F.col("__class").alias("__c"), F.col("__bucket").alias("__b"), "__ahead", "source_size", "target"
-    )
-    here = Window.partitionBy("source", "__class", "__bucket").orderBy("size", F.col("doc_id").asc_nulls_last())
-    placed = rows.withColumn("__k", F.row_number().over(here)).join(
-        places, F.col("source").eqNullSafe(F.col("__s")) & (F.col("__class") == F.col("__c")) & (F.col("__bucket") == F.col("__b"))
-    )
+    keys = ["__s", "__class", "__bucket"]
+    places = places.alias("p").join(goal.alias("g"), F.col("p.source").eqNullSafe(F.col("g.source"))).select(*keys, "__ahead", "source_size", "target")
+    here = Window.partitionBy(*keys).orderBy("size", F.col("doc_id").asc_nulls_last())
+    placed = rows.withColumn("__k", F.row_number().over(here)).join(places, keys)
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     k = F.col("__k") + F.col("__ahead")
     crossed = F.floor(k * rate + F.lit(offset)) - F.floor((k - 1) * rate + F.lit(offset))

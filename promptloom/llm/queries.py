@@ -34,11 +34,11 @@ def op4_html_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents"))
+    return exact_dedup.exact_dedup(_table(spark, sf_dir, "documents")).drop("rid")
 
 
 def op6_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return simhash.near_dedup(_table(spark, sf_dir, "documents"))
+    return simhash.near_dedup(_table(spark, sf_dir, "documents")).drop("kept", "rid")
 
 
 def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Groups with more than 1/HOT_SHARE of all rows count as hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
+#: Bits of a table of rows, and the parts that it is gathered in.
+TABLE_BITS, TABLE_PARTS = 1 << 27, 64
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -42,6 +48,13 @@ def drop_table(df: DataFrame) -> None:
         jpath.getFileSystem(spark._jsc.hadoopConfiguration()).delete(jpath, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Lets the shuffle files of finished rounds go: Spark deletes them when the driver's garbage is collected, which
+    else may be long after."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def attach(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int) -> DataFrame:
     """Inner join of rows with groups (unique in key) by key, safe for hot keys.
 
@@ -91,3 +104,47 @@ def components(links: DataFrame, max_rounds: int = 60) -> DataFrame:
     return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
         edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()
     )
+
+
+def bit_table(keys: DataFrame, column: str) -> np.ndarray:
+    """A table of TABLE_BITS bits that has those of the hashed long keys: of a fixed size, whatever their number, so it
+    may be broadcast. It takes some keys for members that aren't, ever more as it fills; so it only saves work, and an
+    exact join decides on its hits."""
+    size = TABLE_BITS // TABLE_PARTS
+    at = F.pmod(F.xxhash64(column), F.lit(TABLE_BITS))
+    hashed = keys.select(at.alias("at")).select((F.col("at") / size).cast("int").alias("part"), F.pmod("at", F.lit(size)).cast("int").alias("bit")).distinct()
+
+    def merge(table: pa.Table) -> pa.Table:
+        flags = np.zeros(size, bool)
+        flags[table["bit"].to_numpy()] = True
+        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "raw": pa.array([np.packbits(flags, bitorder="little").tobytes()])})
+
+    out = np.zeros(TABLE_BITS // 8, np.uint8)
+    for part, raw in hashed.groupBy("part").applyInArrow(merge, "part int, raw binary").collect():
+        out[part * size // 8 : (part + 1) * size // 8] = np.frombuffer(raw, np.uint8)
+    return out
+
+
+def hits(table: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+
+
+def split_rows(rows: DataFrame, key: str, table, wanted: bool) -> DataFrame:
+    """Rows whose key is (not) in a broadcast bit table."""
+    marked = rows.select("*", F.pmod(F.xxhash64(key), F.lit(TABLE_BITS)).alias("__at"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            yield b.filter(pa.array(hits(table.value, b.column(b.num_columns - 1).to_numpy()) == wanted)).select(b.schema.names[:-1])
+
+    return marked.mapInArrow(run, rows.schema)
+
+
+def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
+    """docs without the rows whose number in the scan, monotonically_increasing_id(), is in dropped(rid). Rows that the
+    bit table clears stay where they are; only its hits are moved, to be joined exactly."""
+    dropped = materialize(dropped, "dropped")
+    table = docs.sparkSession.sparkContext.broadcast(bit_table(dropped, "rid"))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    maybe = split_rows(rows, "rid", table, True).join(dropped, "rid", "left_anti")
+    return split_rows(rows, "rid", table, False).unionByName(maybe).select("row.*")

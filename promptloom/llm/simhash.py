@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import attach, components, materialize
+from promptloom.llm.shared import attach, components, materialize, without_rows
 
 SHINGLE = 3
 DISTANCE = 2
@@ -46,17 +46,16 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
-    """doc_id, fp (long, the fingerprint's bits) for each row; with keep=True all columns of docs in a struct `row`."""
-    frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else []))
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """doc_id, rid, fp (long, the fingerprint's bits) for each row; rid numbers the rows of the scan."""
+    frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = np.array([fingerprint(x.as_py()) for x in b.column(1)], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(got), *b.columns[2:]], names=["doc_id", "fp", *b.schema.names[2:]])
+            got = np.array([fingerprint(x.as_py()) for x in b.column(2)], np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got)], names=["doc_id", "rid", "fp"])
 
-    row = f", row {frame.schema['row'].dataType.simpleString()}" if keep else ""
-    return frame.mapInArrow(run, f"doc_id long, fp long{row}")
+    return frame.mapInArrow(run, "doc_id long, rid long, fp long")
 
 
 def pigeonring_pairs(nodes: DataFrame) -> DataFrame:
@@ -83,34 +82,26 @@ def pigeonring_pairs(nodes: DataFrame) -> DataFrame:
     )
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", keep: bool = False) -> DataFrame:
-    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, kept; with keep=True all columns
-    of docs in a struct `row` too.
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, kept, rid.
 
     Null and wordless texts have fingerprint 0 and are linked like any other. component_id is the smallest doc_id
     reachable over links; null only if every doc_id of the component is null. Of each component one row is kept: the
     first with that doc_id. Equal fingerprints are one node, so copies, however many, cost no pairs. An empty table
     gives no rows; extra columns are ignored, whatever their names."""
-    rows = materialize(fingerprints(docs, text, doc_id, keep).withColumn("rid", F.monotonically_increasing_id()), "fingerprints")
-    nodes = materialize(
-        rows.groupBy("fp").agg(F.min("doc_id").alias("least"), F.min(F.when(F.col("doc_id").isNull(), F.col("rid"))).alias("null_rid"), F.count("*").alias("n")), "nodes"
-    )
+    rows = materialize(fingerprints(docs, text, doc_id), "fingerprints")
+    order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
+    nodes = materialize(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(pigeonring_pairs(nodes.select("fp")))
     marked = nodes.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = marked.groupBy("root").agg(F.min("least").alias("component_id"), F.min("null_rid").alias("null_rid"))
-    groups = marked.select("fp", "root", "n").join(least, "root")
-    out = attach(rows, groups, "fp", "n", rows.count())
-    lower = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    if not keep:
-        return out.select("doc_id", lower.alias("fingerprint"), "component_id")
-    first = rows.filter("doc_id is not null").groupBy("doc_id").agg(F.min("rid").alias("first"), F.count("*").alias("n")).filter("n > 1")
-    repeated = first.select(F.col("doc_id").alias("component_id"), "first")
-    kept = F.when(F.col("component_id").isNull(), F.col("rid") == F.col("null_rid")).otherwise(
-        (F.col("doc_id") == F.col("component_id")) & (F.col("first").isNull() | (F.col("rid") == F.col("first")))
+    first = marked.groupBy("root").agg(F.min("first").alias("first"))
+    groups = marked.select("fp", "root", "n").join(first, "root")
+    return attach(rows, groups, "fp", "n", rows.count()).select(
+        "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("first.d").alias("component_id"), (F.col("rid") == F.col("first.r")).alias("kept"), "rid"
     )
-    return out.join(repeated, "component_id", "left").select("doc_id", lower.alias("fingerprint"), "component_id", F.coalesce(kept, F.lit(False)).alias("kept"), "row")
 
 
 def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The row of each component that stays, in the columns of docs."""
-    return near_dedup(docs, keep=True, **options).filter("kept").select("row.*")
+    """The row of each component that stays, in the columns of docs, which must be a stored table: it is scanned again,
+    and rows are told by their place in the scan."""
+    return without_rows(docs, near_dedup(docs, **options).filter("not kept").select("rid"))

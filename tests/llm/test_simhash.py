@@ -36,7 +36,7 @@ def test_fingerprint_of_few_words():
 
 def test_edge_rows(edge, empty):
     got = simhash.near_dedup(edge).collect()
-    assert sorted([tuple(r) for r in got], key=str) == brute(EDGE)
+    assert sorted([tuple(r)[:3] for r in got], key=str) == brute(EDGE)
     assert simhash.near_dedup(empty).count() == 0
 
 
