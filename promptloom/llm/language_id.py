@@ -151,9 +151,13 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     df[known.f.to_numpy()] = known.df.to_numpy()
     idf = (np.log((1 + n) / (1 + df)) + 1).astype(np.float32)
 
+    # rows whose hash is small enough for about 4 times the sample, so that no task sees many more; then the sample
+    sizes = train_rows.groupBy("lang").agg(F.count("*").alias("n"))
+    share = F.least(F.lit(1.0), F.lit(4.0 * sample) / F.col("n"))
     order = Window.partitionBy("lang").orderBy("at", "doc_id")
     chosen = (
-        train_rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("at"))
+        train_rows.select("doc_id", "lang", F.xxhash64(F.col("doc_id").cast("string")).alias("at")).join(sizes, "lang")
+        .filter(F.pmod("at", F.lit(1_000_000_007)) <= share * 1_000_000_007)
         .withColumn("k", F.row_number().over(order)).filter(F.col("k") <= sample).select("doc_id", "lang", "k")
     )
     names = sorted(x[0] for x in chosen.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
