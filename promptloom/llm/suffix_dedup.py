@@ -3,7 +3,7 @@
 A byte goes if a 50-byte string that covers it also starts in a document with a smaller doc_id. Suffixes need to be
 told apart over 50 bytes only, which bounds the recursion of the difference-cover algorithm:
 
-1. Anchors. Every 50-byte window has a least 20-byte hash; windows whose least hash stands in one document only can't
+1. Anchors. Every 50-byte window has a least 32-byte hash; windows whose least hash stands in one document only can't
    repeat. A fixed-size bit table of the others (too many at worst) leaves the candidate windows.
 2. Strings. Candidate stretches are cut where their content says so, each piece with the 49 bytes that follow. Equal
    pieces become one string with the smallest doc_id they stand in, so copies, however many, are sorted once.
@@ -30,16 +30,14 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import attach, drop_table, materialize
+from promptloom.llm.shared import TABLE_BITS, attach, bit_table, drop_table, hits, materialize, release, split_rows
 
 WIDTH = 50
-GRAM = 20
+GRAM = 32
 #: Least hashes are taken over so many grams: GRAM + WINDOW - 1 = WIDTH.
-WINDOW = 31
+WINDOW = 19
 #: A piece ends before a gram whose hash is 0 modulo CUT; none has more than LONGEST windows.
 CUT, LONGEST = 256, 4096
-#: Bits of the tables of anchors and of rows.
-TABLE_BITS = 1 << 27
 #: Bytes of strings in a block, and keys in a range.
 BLOCK_BYTES, RANGE_KEYS = 3 << 20, 1 << 20
 #: Text that is hashed at a time.
@@ -50,23 +48,20 @@ _MIX = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B
 
 
 def _grams(text: np.ndarray) -> np.ndarray:
-    """Hashes of all 20-byte strings of an array of bytes, by doubling."""
-    h = (text.astype(np.uint64) + np.uint64(1)) * _MIX[0]
-    n, hashes = 1, {}
-    for mix in _MIX[1:]:
-        hashes[n] = h
-        h = h[: len(h) - n] * mix + h[n:]
+    """Hashes of all 32-byte strings of an array of bytes, by doubling."""
+    h, n = text.astype(np.uint64) + np.uint64(1), 1
+    for mix in _MIX:
+        h = h[: len(h) - n] * mix + h[n:] * _MIX[0]
         h ^= h >> np.uint64(29)
         n *= 2
-    h = h[: len(h) - 4] * _MIX[0] + hashes[4][16:]
-    h ^= h >> np.uint64(32)
-    return h * _MIX[1]
+    return h * _MIX[1] ^ h >> np.uint64(31)
 
 
 def _least(h: np.ndarray) -> np.ndarray:
+    """The least of each 19 hashes in a row."""
     for n in (1, 2, 4, 8):
         h = np.minimum(h[:-n], h[n:])
-    return np.minimum(h[:-15], h[15:])
+    return np.minimum(h[:-3], h[3:])
 
 
 def _hashed(texts: list[bytes]) -> Iterator[tuple[list[int], list[int], np.ndarray, np.ndarray]]:
@@ -102,32 +97,36 @@ def _bit_table(pieces: list, bits: int, parts: int) -> np.ndarray:
     return out
 
 
-def _row_table(keys: DataFrame, column: str, bits: int = TABLE_BITS, parts: int = 64) -> np.ndarray:
-    """A bit table of hashed long keys; of a fixed size, whatever their number."""
-    size = bits // parts
-    hashed = keys.select(F.pmod(F.xxhash64(column), F.lit(bits)).alias("at")).select((F.col("at") / size).cast("int").alias("part"), F.pmod("at", F.lit(size)).cast("int").alias("bit")).distinct()
+def _parts(total: int) -> int:
+    """Ranges of anchors, a power of 2, for so many bytes of text."""
+    return 1 << max(6, (total // 10 // RANGE_KEYS).bit_length())
 
-    def merge(table: pa.Table) -> pa.Table:
-        flags = np.zeros(size, bool)
-        flags[table["bit"].to_numpy()] = True
-        return pa.table({"part": pa.array([table["part"][0].as_py()], pa.int32()), "raw": pa.array([np.packbits(flags, bitorder="little").tobytes()])})
 
-    return _bit_table(hashed.groupBy("part").applyInArrow(merge, "part int, raw binary").collect(), bits, parts)
+def _split_hash(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
+    """A hash's range and the 32 bits that follow."""
+    n = parts.bit_length() - 1
+    return (h >> np.uint64(64 - n)).astype(np.int64), h << np.uint64(n) >> np.uint64(32)
 
 
-def _hit(table: np.ndarray, at: np.ndarray) -> np.ndarray:
-    return (table[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1
+def _places(rest: np.ndarray, span: int) -> list[np.ndarray]:
+    """The three bits of a hash within the part of the table that belongs to its range."""
+    return [((rest * m & np.uint64(0xFFFFFFFF)) * np.uint64(span) >> np.uint64(32)).astype(np.int64) for m in (np.uint64(1), np.uint64(0x9E3779B1), np.uint64(0x85EBCA77))]
 
 
-def _anchor_place(h: np.ndarray) -> np.ndarray:
-    return (h >> np.uint64(64 - TABLE_BITS.bit_length() + 1)).astype(np.int64)
+def _is_repeated(table: np.ndarray, h: np.ndarray, parts: int) -> np.ndarray:
+    part, rest = _split_hash(h, parts)
+    span = TABLE_BITS // parts
+    found = np.ones(len(h), bool)
+    for place in _places(rest, span):
+        found &= hits(table, part * span + place)
+    return found
 
 
 def _repeated_anchors(rows: DataFrame, total: int) -> np.ndarray:
     """The bit table of least hashes that stand in more than one document: exact up to hashes that fall together.
 
-    A range of hashes is a range of the table, so its bits are made where its hashes meet."""
-    parts = 1 << max(6, (total // 16 // RANGE_KEYS).bit_length())
+    A range of hashes has a part of the table, so its bits are made where its hashes meet."""
+    parts = _parts(total)
     span = TABLE_BITS // parts
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -144,11 +143,13 @@ def _repeated_anchors(rows: DataFrame, total: int) -> np.ndarray:
             twice = np.zeros(len(h), bool)
             twice[:-1] = ~first[1:]
             h, twice = h[first], twice[first]
-            ends = np.searchsorted(_anchor_place(h), np.arange(parts + 1) * span)
+            part, rest = _split_hash(h, parts)
+            rest = rest.astype(np.uint32)
+            ends = np.searchsorted(part, np.arange(parts + 1))
             some = [i for i in range(parts) if ends[i] < ends[i + 1]]
             cut = [slice(ends[i], ends[i + 1]) for i in some]
             yield pa.RecordBatch.from_arrays(
-                [pa.array(some, pa.int32()), pa.array([_shift(h[c]).tobytes() for c in cut]), pa.array([np.packbits(twice[c]).tobytes() for c in cut])], names=["part", "h", "twice"]
+                [pa.array(some, pa.int32()), pa.array([rest[c].tobytes() for c in cut]), pa.array([np.packbits(twice[c]).tobytes() for c in cut])], names=["part", "h", "twice"]
             )
 
     def merge(table: pa.Table) -> pa.Table:
@@ -162,18 +163,14 @@ def _repeated_anchors(rows: DataFrame, total: int) -> np.ndarray:
         same[1:] = s[1:] == s[:-1]
         repeated = np.unique(s[same | (twice[order] == 1)])
         flags = np.zeros(span, bool)
-        # the table's place is the hash's leading bits: those of the range, then the leading ones of what was sent
-        flags[(repeated.astype(np.uint64) * np.uint64(span) >> np.uint64(32)).astype(np.int64)] = True
+        for place in _places(repeated.astype(np.uint64), span):
+            flags[place] = True
         return pa.table({"part": pa.array([part], pa.int32()), "raw": pa.array([np.packbits(flags, bitorder="little").tobytes()])})
 
-    def _shift(h: np.ndarray) -> np.ndarray:
-        """The 32 bits after those that give the range."""
-        return (h << np.uint64(parts.bit_length() - 1) >> np.uint64(32)).astype(np.uint32)
-
     return _bit_table(rows.select("rid", "text").mapInArrow(scan, "part int, h binary, twice binary").groupBy("part").applyInArrow(merge, "part int, raw binary").collect(), TABLE_BITS, parts)
 
 
-def _pieces(rows: DataFrame, anchors) -> DataFrame:
+def _pieces(rows: DataFrame, anchors, parts: int) -> DataFrame:
     """rid, doc, start, h, g, body: the pieces of the candidate stretches of each text."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,8 +179,8 @@ def _pieces(rows: DataFrame, anchors) -> DataFrame:
             rids, docs, texts = b.column(0).to_pylist(), b.column(1).to_pylist(), _texts(b.column(2))
             out = []
             for own, starts, h, least in _hashed(texts):
-                hit = _hit(table, _anchor_place(least))
-                cuts = h & np.uint64(CUT - 1) == 0
+                hit = _is_repeated(table, least, parts)
+                cuts = (h & np.uint64(CUT - 1)) == 0
                 for i, s, e in zip(own, starts, starts[1:]):
                     n = e - WIDTH + 1 - s
                     w = hit[s : s + n]
@@ -277,34 +274,48 @@ def _distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 def _received(replies: pa.Table, kind: int) -> np.ndarray:
     mine = replies.filter(pa.array(replies["kind"].to_numpy() == kind)).sort_by("range")
-    return np.concatenate([np.zeros(0, np.int64), *(np.frombuffer(x.as_py(), np.int64) for x in mine["names"])])
+    parts = [np.frombuffer(x.as_py(), np.uint32).astype(np.int64) | r << 32 for r, x in zip(mine["range"].to_pylist(), mine["names"])]
+    return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
 def _send(block: int, ranges: np.ndarray, arrays: list[np.ndarray], count: int) -> pa.Table:
-    """Sorted arrays cut into rows by key range."""
+    """Sorted arrays, of no wider types than needed, cut into rows by key range."""
+    arrays = arrays + [np.empty(0, np.uint8)] * (5 - len(arrays))
     ends = np.searchsorted(ranges, np.arange(count + 1))
     some = [i for i in range(count) if ends[i] < ends[i + 1]]
     columns = {f"k{j}": pa.array([a[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()) for j, a in enumerate(arrays)}
     return pa.table({"range": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int32())} | columns)
 
 
-_KEYS = "range int, block int, k0 binary, k1 binary, k2 binary"
+_KEYS = "range int, block int, k0 binary, k1 binary, k2 binary, k3 binary, k4 binary"
 _REPLY = "block int, range int, kind int, names binary"
 
 
+def _triple_columns(kind: int, keys: list[np.ndarray]) -> list[np.ndarray]:
+    """What is sent of sorted triples: 18 bytes of text, or three names less the first one's range, which is known."""
+    if kind == 1:
+        return [keys[0], keys[1], keys[2].astype(np.uint16)]
+    return [keys[0].astype(np.uint32), keys[1].astype(np.uint32), (keys[1] >> 32).astype(np.uint16), keys[2].astype(np.uint32), (keys[2] >> 32).astype(np.uint16)]
+
+
+def _read(table: pa.Table, types: tuple) -> tuple[list[np.ndarray], np.ndarray]:
+    """The columns of a range's rows one after the other, and where each row ends."""
+    rows = [[np.frombuffer(x.as_py(), t) for x in table[f"k{j}"]] for j, t in enumerate(types)]
+    return [np.concatenate(r) for r in rows], np.cumsum([0, *(len(x) for x in rows[0])])
+
+
 def _name(kind: int):
-    """Sorts the keys of a range; the name of a key is the range and its rank in it, so names are in the keys' order."""
+    """Sorts the keys of a range; the name of a key is the range and its rank in it, so names are in the keys' order.
+    Ranks are sent back."""
+    types = (np.uint64, np.uint64, np.uint16) if kind == 1 else (np.uint32, np.uint32, np.uint16, np.uint32, np.uint16)
 
     def run(table: pa.Table) -> pa.Table:
-        part = table["range"][0].as_py()
-        kinds = (np.uint64, np.uint64, np.uint64) if kind == 1 else (np.int64,) * 3
-        rows = [[np.frombuffer(x.as_py(), t) for x in table[f"k{j}"]] for j, t in enumerate(kinds)]
-        _, rank = _distinct([np.concatenate(r) for r in rows])
-        names = rank + (part << 32)
-        ends = np.cumsum([0, *(len(x) for x in rows[0])])
+        columns, ends = _read(table, types)
+        _, rank = _distinct(columns if kind == 1 else [columns[0], columns[2], columns[1], columns[4], columns[3]])
+        rank = rank.astype(np.uint32)
         return pa.table({
             "block": table["block"], "range": table["range"], "kind": pa.array([kind] * len(table), pa.int32()),
-            "names": pa.array([names[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
+            "names": pa.array([rank[a:b].tobytes() for a, b in zip(ends, ends[1:])], pa.binary()),
         })
 
     return run
@@ -326,18 +337,20 @@ def _least_documents(strings: DataFrame, total: int) -> DataFrame:
         words = b.words(b.sampled(18))
         some, _ = _distinct(words)
         words = [w[some] for w in words]
-        return _send(table["block"][0].as_py(), np.searchsorted(edges.value, words[0], side="right"), words, count)
+        return _send(table["block"][0].as_py(), np.searchsorted(edges.value, words[0], side="right"), _triple_columns(1, words), count)
 
     one = materialize(blocks.applyInArrow(first, _KEYS).groupBy("range").applyInArrow(_name(1), _REPLY), "names")
+    release(spark)
 
     def second(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
         b = _Block(table)
         _, keys = b.triples(b.names(replies))
         some, _ = _distinct(keys)
         keys = [k[some] for k in keys]
-        return _send(key[0].as_py(), keys[0] >> 32, keys, count)
+        return _send(key[0].as_py(), keys[0] >> 32, _triple_columns(2, keys), count)
 
     two = materialize(blocks.cogroup(one.groupBy("block")).applyInArrow(second, _KEYS).groupBy("range").applyInArrow(_name(2), _REPLY), "ranks")
+    release(spark)
     both = one.unionByName(two)
     least = None
     def round_of(shift: int):
@@ -348,17 +361,16 @@ def _least_documents(strings: DataFrame, total: int) -> DataFrame:
             k, d = keys[order], b.docs[at][order]
             new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
             k, d = k[new], d[new]
-            return _send(key[0].as_py(), (k >> np.uint64(48)).astype(np.int64), [k, d.astype(np.uint32), (d >> 32).astype(np.int32)], count)
+            return _send(key[0].as_py(), (k >> np.uint64(48)).astype(np.int64), [k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16), d.astype(np.uint32), (d >> 32).astype(np.int32)], count)
 
         def compare(table: pa.Table) -> pa.Table:
-            rows = [[np.frombuffer(x.as_py(), t) for x in table[f"k{j}"]] for j, t in enumerate((np.uint64, np.uint32, np.int32))]
-            k, low, high = (np.concatenate(r) for r in rows)
-            d = high.astype(np.int64) << 32 | low.astype(np.int64)
+            (low, middle, d_low, d_high), ends = _read(table, (np.uint32, np.uint16, np.uint32, np.int32))
+            k = np.uint64(table["range"][0].as_py()) << np.uint64(48) | middle.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+            d = d_high.astype(np.int64) << 32 | d_low.astype(np.int64)
             order = np.lexsort((d, k))
             new = np.concatenate(([True], k[order][1:] != k[order][:-1]))
             best = np.empty(len(k), np.int64)
             best[order] = d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            ends = np.cumsum([0, *(len(x) for x in rows[0])])
             out = []
             for i, (a, z) in enumerate(zip(ends, ends[1:])):
                 less = np.flatnonzero(best[a:z] < d[a:z]) + a
@@ -372,6 +384,7 @@ def _least_documents(strings: DataFrame, total: int) -> DataFrame:
     for shift in (0, 1, 2):
         merge, compare = round_of(shift)
         got = materialize(blocks.cogroup(both.groupBy("block")).applyInArrow(merge, _KEYS).groupBy("range").applyInArrow(compare, _REPLY), "merged")
+        release(spark)
         least = got if least is None else least.unionByName(got)
 
     def last(table: pa.Table, replies: pa.Table) -> pa.Table:
@@ -429,26 +442,16 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sizes = facts.groupBy("sha").agg(F.count("*").alias("n"), F.min("doc").alias("first"))
     repeated = attach(facts.select("rid", "doc", "n_bytes", "sha"), sizes.filter("n > 1"), "sha", "n", n)
     gone = materialize(repeated.filter((F.col("doc") > F.col("first")) & (F.col("n_bytes") >= WIDTH)).select("rid"), "whole")
-    sent = docs.sparkSession.sparkContext.broadcast(_row_table(gone, "rid"))
-
-    def split(rows: DataFrame, table, wanted: bool) -> DataFrame:
-        """Rows whose rid is (not) in a bit table."""
-        at = rows.select("*", F.pmod(F.xxhash64("rid"), F.lit(TABLE_BITS)).alias("__at"))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for b in batches:
-                hit = _hit(table.value, b.column(b.num_columns - 1).to_numpy())
-                yield b.filter(pa.array(hit == wanted)).select(b.schema.names[:-1])
-
-        return at.mapInArrow(run, rows.schema)
+    sent = docs.sparkSession.sparkContext.broadcast(bit_table(gone, "rid"))
 
     own = frame.select("rid", "doc", "text")
-    rows = materialize(split(own, sent, False).unionByName(split(own, sent, True).join(gone, "rid", "left_anti")), "texts")
+    rows = materialize(split_rows(own, "rid", sent, False).unionByName(split_rows(own, "rid", sent, True).join(gone, "rid", "left_anti")), "texts")
     total = int(facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     anchors = docs.sparkSession.sparkContext.broadcast(_repeated_anchors(rows, total))
-    pieces = materialize(_pieces(rows, anchors), "pieces")
+    pieces = materialize(_pieces(rows, anchors, _parts(total)), "pieces")
     strings = pieces.groupBy("h", "g", "body").agg(F.min("doc").alias("doc"), F.count("*").alias("n"))
     strings = materialize(strings, "strings")
+    release(docs.sparkSession)
     size = int(strings.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).cast("long")).first()[0])
     blocks = max(1, -(-size // BLOCK_BYTES))
     runs = _least_documents(strings.select("h", "g", "doc", "body", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block")), size)
@@ -458,8 +461,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     placed = attach(pieces.select("rid", "doc", "start", F.struct("h", "g").alias("hg")), known.select("hg", "n", ends.alias("runs")), "hg", "n", max(1, n))
     spans = placed.select("rid", "doc", "start", F.explode("runs").alias("r")).filter("r.d < doc").select("rid", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.z") + WIDTH - 1).alias("z"))
     spans = materialize(spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("spans")), "spans")
-    some = docs.sparkSession.sparkContext.broadcast(_row_table(spans, "rid"))
-    cut = split(rows.select("rid", "text"), some, True).join(spans, "rid").select("rid", "text", F.col("spans.a").alias("a"), F.col("spans.z").alias("z"))
+    some = docs.sparkSession.sparkContext.broadcast(bit_table(spans, "rid"))
+    cut = split_rows(rows.select("rid", "text"), "rid", some, True).join(spans, "rid").select("rid", "text", F.col("spans.a").alias("a"), F.col("spans.z").alias("z"))
 
     def remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
