@@ -13,7 +13,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import attach, materialize
+from promptloom.llm.shared import ROW, attach, materialize, numbered, stored
 
 #: Removed before texts are compared.
 BLANK = r"[\x20\x09-\x0D]+"
@@ -35,8 +35,10 @@ def identifier(chunk: Column, salt: int) -> Column:
 
 
 def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
-                make_id: Callable[[Column, int], Column] = identifier, salts: int = 8) -> DataFrame:
-    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, rid (the row's number in the scan).
+                make_id: Callable[[Column, int], Column] = identifier, salts: int = 8,
+                rid: str | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, keep_id, group_size, kept, text_sha256, rid (the column of that name, else the
+    row's number in this scan).
 
     Texts are equal when they are identical without space, tab, LF, VT, FF and CR. Of equal texts the one with the
     most code points before that stays, then the smallest doc_id (null last). Null counts as empty, and all empty
@@ -44,7 +46,7 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     are ignored, whatever their names."""
     base = docs.select(
         F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.length(text), F.lit(0)).alias("n"), normalized(F.col(text)).alias("norm"),
-        F.monotonically_increasing_id().alias("rid"),
+        (F.monotonically_increasing_id() if rid is None else F.col(rid)).alias("rid"),
     )
     for salt in range(salts):
         ids = F.flatten(F.transform(F.col("parts"), lambda c: make_id(c, salt)))  # noqa: B023
@@ -70,11 +72,13 @@ def exact_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     )
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs that stay, in the columns of docs, which must be a stored table: it is scanned again, and rows
-    are told by their place in the scan."""
-    gone = materialize(exact_dedup(docs, **options).filter("not kept").select("rid"), "dropped")
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
+def kept_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", **options) -> DataFrame:
+    """The rows of docs that stay, in the columns of docs. It is scanned again, and rows are told by their place in their
+    files; what isn't a stored table is stored first."""
+    docs = stored(docs)
+    found = exact_dedup(numbered(docs, text, doc_id), text, doc_id, rid=ROW, **options)
+    gone = materialize(found.filter("not kept").select("rid"), "dropped")
+    rows = numbered(docs, F.struct(*docs.columns).alias("row")).withColumnRenamed(ROW, "rid")
     return rows.join(gone, "rid", "left_anti").select("row.*")
 
 

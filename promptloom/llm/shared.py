@@ -9,13 +9,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import NullType
 
 #: Groups with more than 1/HOT_SHARE of all rows count as hot; there are fewer than HOT_SHARE of them.
 HOT_SHARE = 1000
 #: Bits of a table of rows, and the parts that it is gathered in.
 TABLE_BITS, TABLE_PARTS = 1 << 27, 64
+#: A row's number, and the bits of it that are the row's place in its file.
+ROW, PLACES = "__rid", 40
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -140,11 +144,39 @@ def split_rows(rows: DataFrame, key: str, table, wanted: bool) -> DataFrame:
     return marked.mapInArrow(run, rows.schema)
 
 
+def stored(docs: DataFrame, *columns) -> DataFrame:
+    """docs if it is a stored table whose rows have a place in a file; else the given columns of it (all by default), as
+    such a table."""
+    if docs._jdf.queryExecution().analyzed().getClass().getSimpleName() == "LogicalRelation":
+        try:
+            docs.select(docs.metadataColumn("_metadata").getField("row_index"))
+            return docs
+        except AnalysisException:
+            pass
+    docs = docs.select(*columns) if columns else docs
+    # Parquet can't hold columns without a type
+    void = {f.name for f in docs.schema if isinstance(f.dataType, NullType)}
+    table = materialize(docs.drop(*void), "rows")
+    return table.select(*[F.lit(None).alias(c) if c in void else c for c in docs.columns]) if void else table
+
+
+def numbered(docs: DataFrame, *columns) -> DataFrame:
+    """The given columns of docs, which stored() gave, and ROW, the row's number: that of its file among the sorted
+    files and its place in the file. So it is the same in every scan, whatever partitions the scan has."""
+    meta = docs.metadataColumn("_metadata")
+    file = meta.getField("file_path")
+    paths = sorted(r[0] for r in docs.select(file.alias("f")).distinct().collect())
+    files = F.broadcast(docs.sparkSession.createDataFrame(list(enumerate(paths)), "__n long, __file string"))
+    rows = docs.select(*columns, file.alias("__file"), meta.getField("row_index").alias("__at"))
+    number = F.shiftleft("__n", PLACES).bitwiseOR(F.col("__at")).alias(ROW)
+    return rows.join(files, "__file").select(*[c for c in rows.columns if c not in ("__file", "__at")], number)
+
+
 def without_rows(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """docs without the rows whose number in the scan, monotonically_increasing_id(), is in dropped(rid). Rows that the
-    bit table clears stay where they are; only its hits are moved, to be joined exactly."""
+    """docs, which stored() gave, without the rows whose number, by numbered(), is in dropped(rid). Rows that the bit
+    table clears stay where they are; only its hits are moved, to be joined exactly."""
     dropped = materialize(dropped, "dropped")
     table = docs.sparkSession.sparkContext.broadcast(bit_table(dropped, "rid"))
-    rows = docs.select(F.struct(*docs.columns).alias("row"), F.monotonically_increasing_id().alias("rid"))
+    rows = numbered(docs, F.struct(*docs.columns).alias("row")).withColumnRenamed(ROW, "rid")
     maybe = split_rows(rows, "rid", table, True).join(dropped, "rid", "left_anti")
     return split_rows(rows, "rid", table, False).unionByName(maybe).select("row.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import attach, components, materialize, without_rows
+from promptloom.llm.shared import ROW, attach, components, materialize, numbered, stored, without_rows
 
 SHINGLE = 3
 DISTANCE = 2
@@ -46,9 +46,11 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, rid, fp (long, the fingerprint's bits) for each row; rid numbers the rows of the scan."""
-    frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("rid"), F.col(text).alias("text"))
+def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rid: str | None = None) -> DataFrame:
+    """doc_id, rid, fp (long, the fingerprint's bits) for each row; rid is the column of that name, else it numbers the
+    rows of the scan."""
+    number = F.monotonically_increasing_id() if rid is None else F.col(rid)
+    frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), number.alias("rid"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
@@ -82,14 +84,14 @@ def pigeonring_pairs(nodes: DataFrame) -> DataFrame:
     )
 
 
-def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", rid: str | None = None) -> DataFrame:
     """One row per row of docs: doc_id, fingerprint (16 hex digits), component_id, kept, rid.
 
     Null and wordless texts have fingerprint 0 and are linked like any other. component_id is the smallest doc_id
     reachable over links; null only if every doc_id of the component is null. Of each component one row is kept: the
     first with that doc_id. Equal fingerprints are one node, so copies, however many, cost no pairs. An empty table
     gives no rows; extra columns are ignored, whatever their names."""
-    rows = materialize(fingerprints(docs, text, doc_id), "fingerprints")
+    rows = materialize(fingerprints(docs, text, doc_id, rid), "fingerprints")
     order = F.struct(F.col("doc_id").isNull().alias("z"), F.col("doc_id").alias("d"), F.col("rid").alias("r"))
     nodes = materialize(rows.groupBy("fp").agg(F.min(order).alias("first"), F.count("*").alias("n")), "nodes")
     roots = components(pigeonring_pairs(nodes.select("fp")))
@@ -101,7 +103,8 @@ def near_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> D
     )
 
 
-def kept_documents(docs: DataFrame, **options) -> DataFrame:
-    """The row of each component that stays, in the columns of docs, which must be a stored table: it is scanned again,
-    and rows are told by their place in the scan."""
-    return without_rows(docs, near_dedup(docs, **options).filter("not kept").select("rid"))
+def kept_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
+    """The row of each component that stays, in the columns of docs. It is scanned again, and rows are told by their
+    place in their files; what isn't a stored table is stored first."""
+    docs = stored(docs)
+    return without_rows(docs, near_dedup(numbered(docs, text, doc_id), text, doc_id, ROW).filter("not kept").select("rid"))
