@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import TABLE_BITS, attach, bit_table, drop_table, hits, materialize, release, split_rows
+from promptloom.llm.shared import ROW, TABLE_BITS, attach, bit_table, drop_table, hits, materialize, numbered, release, split_rows, stored
 
 WIDTH = 50
 GRAM = 32
@@ -432,10 +432,11 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ignored.
 
     A text that also stands whole in a document of smaller doc_id goes whole, and takes no part in the sort."""
-    frame = docs.select(
-        F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"),
-        F.coalesce(F.col(text), F.lit("")).alias("text"), F.monotonically_increasing_id().alias("rid"),
-    )
+    # scanned twice, so rows need a number that doesn't hang on the scan's partitions
+    frame = numbered(
+        stored(docs, text, doc_id), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"),
+        F.coalesce(F.col(text), F.lit("")).alias("text"),
+    ).withColumnRenamed(ROW, "rid")
     facts = frame.select("doc_id", "doc", "rid", F.octet_length("text").cast("long").alias("n_bytes"), F.sha2("text", 256).alias("sha"))
     facts = materialize(facts, "facts")
     n = facts.count()
