@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from promptloom.llm.shared import bound_batches
+
 # Fixed values of HTML: elements whose inside is never text of the page, elements that end a block, elements without
 # an end, and elements that mark what is not the article.
 HIDDEN = frozenset("script style noscript template svg math title textarea select option button iframe object canvas audio video".split())
@@ -227,6 +229,8 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     are alike; an empty table gives no rows; extra columns are ignored."""
     frame = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
 
+    bound_batches(pages.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             texts = [extract(x.as_py()) for x in b.column(2)]

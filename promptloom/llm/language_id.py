@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from promptloom.llm.shared import bound_batches
+
 #: Labelled documents per language that the classifier is trained and calibrated on.
 SAMPLE = 1000
 EPOCHS = 3
@@ -134,6 +136,8 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
     """docs(doc_id, text, lang): learns from those with a language whose crc32(doc_id) mod 3 is not 1."""
     train_rows = docs.filter(F.col("lang").isNotNull() & (remainder(F.col("doc_id")) != 1))
 
+    bound_batches(docs.sparkSession)
+
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         df, n = np.zeros(FEATURES, np.int64), 0
         for b in batches:
@@ -194,6 +198,8 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: bool = Fals
     sent = docs.sparkSession.sparkContext.broadcast(model)
     frame = docs.select(F.col("doc_id"), F.col(text).alias("text"), *([F.struct(*docs.columns).alias("row")] if keep else []))
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         for b in batches:

@@ -18,15 +18,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import materialize
+from promptloom.llm.shared import bound_batches, materialize
 
 CAPACITY = 4096
 #: Ends each document.
 END = 1
 #: Pieces that are packed together.
 GROUP = 100_000
-#: Cached words of a Python worker.
-CACHE = 500_000
+#: Cached words of a Python worker, and the bytes of the longest one that is cached: 100 MB at most.
+CACHE, LONGEST = 100_000, 64
 
 
 class Tokenizer:
@@ -49,7 +49,9 @@ class Tokenizer:
 
     def part(self, x: str) -> bytes:
         if (got := self.parts.get(x)) is None:
-            got = self.parts[x] = array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.table))]).tobytes()
+            got = array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.table))]).tobytes()
+            if len(x) <= LONGEST:
+                self.parts[x] = got
         return got
 
     def word(self, raw: bytes) -> bytes:
@@ -64,9 +66,10 @@ class Tokenizer:
             words.clear()
         if len(self.parts) > CACHE:
             self.parts.clear()
+        rare = {}
         for x in set(found).difference(words):
-            words[x] = self.word(x)
-        return b"".join(map(words.__getitem__, found))
+            (words if len(x) <= LONGEST else rare)[x] = self.word(x)
+        return b"".join([words[x] if x in words else rare[x] for x in found] if rare else map(words.__getitem__, found))
 
 
 _loaded: dict[str, Tokenizer] = {}
@@ -75,6 +78,8 @@ _loaded: dict[str, Tokenizer] = {}
 def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
     """docs -> doc_id, piece, start, length, ids_crc32 and uid (of the document's row)."""
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if vocabulary not in _loaded:
             _loaded[vocabulary] = Tokenizer(vocabulary)

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import materialize
+from promptloom.llm.shared import bound_batches, materialize
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -143,6 +143,8 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     span = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
     seen = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32()), ("instance", pa.string()), ("patterns", pa.list_(pa.string()))])
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bases, sights, digests = [], [], []

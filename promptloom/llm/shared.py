@@ -22,14 +22,28 @@ TABLE_BITS, TABLE_PARTS = 1 << 27, 64
 ROW, PLACES = "__rid", 40
 
 
+#: Rows in an Arrow batch of whole texts.
+BATCH = 1024
+
+
+def bound_batches(spark: SparkSession) -> None:
+    """Arrow batches of BATCH rows at most, where the session has Spark's default of 10,000: batches hold whole texts."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(name, "10000")) in (0, 10_000):
+        spark.conf.set(name, str(BATCH))
+
+
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster shares (spark.checkpoint.dir); a temporary one only where that is unset."""
+    """The folder that the cluster shares (spark.checkpoint.dir). A temporary one where that is unset and all of Spark
+    runs on this machine; on a cluster, whose executors wouldn't see it, that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         folder = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not folder:
         folder = spark.sparkContext.getCheckpointDir()
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise RuntimeError("spark.checkpoint.dir isn't set; it must name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="promptloom-"))
         folder = spark.sparkContext.getCheckpointDir()
     return folder.rstrip("/")

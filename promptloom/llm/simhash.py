@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import ROW, attach, components, materialize, numbered, stored, without_rows
+from promptloom.llm.shared import ROW, attach, bound_batches, components, materialize, numbered, stored, without_rows
 
 SHINGLE = 3
 DISTANCE = 2
@@ -52,6 +52,8 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ri
     number = F.monotonically_increasing_id() if rid is None else F.col(rid)
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), number.alias("rid"), F.col(text).alias("text"))
 
+    bound_batches(docs.sparkSession)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             got = np.array([fingerprint(x.as_py()) for x in b.column(2)], np.uint64).view(np.int64)
