@@ -6,6 +6,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def ranges(rows: DataFrame, keys: list[str], parts: int = 64, name: str = "__r") -> DataFrame:
+    """rows with the number of their range in the order of the keys, nulls first. The ranges' bounds come from a sample by
+    hash, so they are the same whenever the plan runs; a few thousand values reach the driver."""
+    found = rows.select(*keys).orderBy(F.xxhash64(*keys)).limit(32 * parts).collect()
+    found = sorted(map(tuple, found), key=lambda r: [(x is not None, x) for x in r])
+    types = [rows.schema[k].dataType for k in keys]
+    bounds = [F.struct(*[F.lit(x).cast(t).alias(f"c{i}") for i, (x, t) in enumerate(zip(r, types))]) for r in found[31::32]]
+    if not bounds:
+        return rows.withColumn(name, F.lit(0))
+    own = F.struct(*[F.col(k).alias(f"c{i}") for i, k in enumerate(keys)])
+    return rows.withColumn(name, F.size(F.filter(F.array(*bounds), lambda b: b < own)))
+
+
 def group_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Mean, median, population deviation, least and greatest; null for groups without values."""
     v = F.col(value)
@@ -15,12 +28,14 @@ def group_stats(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
 def upper_median(rows: DataFrame, value: str) -> DataFrame:
     """Count, least, greatest, mean, and the upper median, sorted[n // 2], of the whole table.
 
-    Values are counted first, so what is sorted is the distinct ones."""
+    Values are counted first, so what is sorted is the distinct ones, and that in ranges."""
     counted = rows.filter(F.col(value).isNotNull()).groupBy(F.col(value).alias("v")).agg(F.count("*").alias("n"))
-    running = counted.withColumn("upto", F.sum("n").over(Window.orderBy("v"))).withColumn("all", F.sum("n").over(Window.partitionBy()))
+    ranged = ranges(counted, ["v"], name="r")
+    ahead = ranged.groupBy("r").agg(F.sum("n").alias("k")).select("r", (F.sum("k").over(Window.orderBy("r")) - F.col("k")).alias("ahead"), F.sum("k").over(Window.partitionBy()).alias("all"))
+    running = ranged.withColumn("upto", F.sum("n").over(Window.partitionBy("r").orderBy("v"))).join(F.broadcast(ahead), "r")
     return running.agg(
         F.sum("n").alias("n"), F.min("v").alias("least"), F.max("v").alias("greatest"), (F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("mean"),
-        F.min(F.when(F.col("upto") > F.floor(F.col("all") / 2), F.col("v"))).alias("upper_median"),
+        F.min(F.when(F.col("upto") + F.col("ahead") > F.floor(F.col("all") / 2), F.col("v"))).alias("upper_median"),
     )
 
 
@@ -91,11 +106,20 @@ def cohens_d(rows: DataFrame, group: str, value: str, first, second) -> DataFram
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, order: str) -> DataFrame:
-    """Rows with `q_value`. Ranks need one order over all p-values; `order` settles ties."""
-    everything = Window.partitionBy()
-    ranked = rows.withColumn("__rank", F.row_number().over(everything.orderBy(p, order))).withColumn("__m", F.count("*").over(everything))
-    upward = everything.orderBy(F.desc("__rank")).rowsBetween(Window.unboundedPreceding, 0)
-    return ranked.withColumn("q_value", F.least(F.lit(1.0), F.min(F.col(p) * F.col("__m") / F.col("__rank")).over(upward))).drop("__rank", "__m")
+    """Rows with `q_value`; `order` settles ties. p isn't null.
+
+    Ranks and the minimum from above need one order over all p-values: ranges of p are ranked and scanned where they are,
+    and only each range's count and least value meet."""
+    ranged = ranges(rows, [p, order])
+    inside = Window.partitionBy("__r").orderBy(p, order)
+    counts = ranged.groupBy("__r").agg(F.count("*").alias("__n"))
+    ahead = counts.withColumn("__ahead", F.sum("__n").over(Window.orderBy("__r")) - F.col("__n")).withColumn("__m", F.sum("__n").over(Window.partitionBy())).drop("__n")
+    ranked = ranged.withColumn("__k", F.row_number().over(inside)).join(F.broadcast(ahead), "__r")
+    raw = ranked.withColumn("__raw", F.col(p) * F.col("__m") / (F.col("__k") + F.col("__ahead")))
+    above = raw.groupBy("__r").agg(F.min("__raw").alias("__least")).withColumn("__above", F.min("__least").over(Window.orderBy(F.desc("__r")).rowsBetween(Window.unboundedPreceding, -1))).drop("__least")
+    upward = Window.partitionBy("__r").orderBy(F.desc("__k")).rowsBetween(Window.unboundedPreceding, 0)
+    q = F.least(F.lit(1.0), F.min("__raw").over(upward), F.col("__above"))
+    return raw.join(F.broadcast(above), "__r").withColumn("q_value", q).drop("__r", "__k", "__ahead", "__m", "__raw", "__above")
 
 
 def importance(base: Column, length: Column, effect: Column, confidence: Column, similarity: Column) -> Column:

@@ -7,6 +7,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from promptloom.functions.stats import ranges
 from promptloom.functions.text import assistant_name, py_strip, word_count
 
 # What marks JSON near the word "tool".
@@ -35,7 +36,7 @@ def mentions_tools(c: Column, needle: str = "tool", marks: tuple[str, ...] = JSO
 def renumber(rows: DataFrame, order: str, name: str = "number") -> DataFrame:
     """places from 1 in the order of `order`, without one task for all rows: ranges are numbered where they are,
     and start at the count of the ranges before."""
-    placed = rows.repartitionByRange(F.col(order)).withColumn("__p", F.spark_partition_id())
+    placed = ranges(rows, [order], name="__p")
     inside = placed.withColumn("__k", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
     ahead = placed.groupBy("__p").agg(F.count("*").alias("__n")).withColumn("__ahead", F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).drop("__n")
     return inside.join(F.broadcast(ahead), "__p").withColumn(name, F.col("__k") + F.col("__ahead")).drop("__p", "__k", "__ahead")
@@ -66,8 +67,8 @@ def coalesce_text(*columns: Column) -> Column:
 
 
 def first_unique(rows: DataFrame, text: str, order: str, n: int = 300, budget: int | None = None) -> DataFrame:
-    """L4: the n first distinct texts, by first appearance, of at most `budget` rows; a distributed top-n."""
-    seen = rows.filter(F.col(order) < budget) if budget is not None else rows
+    """L4: the n first distinct texts, by first appearance, of the first `budget` rows in `order`; a distributed top-n."""
+    seen = rows.orderBy(order).limit(budget) if budget is not None else rows
     return seen.groupBy(text).agg(F.min(order).alias(order)).orderBy(order).limit(n)
 
 

@@ -146,6 +146,19 @@ def generation_prompt(phrase: Column, n: int, existing: Column | None = None, ke
     return head if existing is None else F.concat(head, F.lit("\nThey must differ from:\n"), F.array_join(F.transform(F.slice(existing, 1, 5), lambda x: F.concat(F.lit("- "), x)), "\n"))
 
 
+def simple_prompt(phrase: Column, n: int = 10) -> Column:
+    """The simple form: n rewordings, one a line."""
+    return F.format_string(f'Give {n} rewordings of the phrase "%s" that say the same. One a line, nothing else.', phrase)
+
+
+def adaptive_prompt(phrase: Column, n: int = 8, keywords: tuple[str, ...] = PROTECTED) -> Column:
+    """The adaptive form: smallest possible edits, no negation added or dropped."""
+    return F.format_string(
+        f'Change as few words as possible in the phrase "%s", {n} times, so that its meaning stays exactly the same. '
+        f'Add or drop no negation; keep {", ".join(keywords)}. One a line, nothing else.', phrase,
+    )
+
+
 def filter_generated(rows: DataFrame, key: str, text: str, low: float = 0.5, high: float = 0.9, n: int = 10) -> DataFrame:
     """rows(key, text, ord, variant, similarity) within the band, without repeats in any case, the n most
     similar."""
@@ -154,12 +167,15 @@ def filter_generated(rows: DataFrame, key: str, text: str, low: float = 0.5, hig
     return once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy(F.desc("similarity"), "ord"))).filter(F.col("place") <= n).drop("__n")
 
 
-def top_up(first: DataFrame, more: Callable[[DataFrame], DataFrame], key: str, n: int, rounds: int = 3) -> DataFrame:
-    """U4: asks again for keys with fewer than n variants, at most `rounds` times; new rows come after old ones."""
+def top_up(keys: DataFrame, first: DataFrame, more: Callable[[DataFrame], DataFrame], key: str, n: int, rounds: int = 3, store: Callable[[DataFrame], DataFrame] = lambda df: df.cache()) -> DataFrame:
+    """U4: asks again for keys with fewer than n distinct variants (in any case), those without any too, at most `rounds`
+    times; new rows come after old ones. `store` keeps what a round brought, so that no request is made twice."""
     have = first.withColumn("round", F.lit(0))
     for i in range(1, rounds + 1):
-        short = have.groupBy(key).agg(F.count("*").alias("have")).filter(F.col("have") < n)
-        have = have.unionByName(more(short).withColumn("round", F.lit(i)))
+        counted = have.groupBy(key).agg(F.count_distinct(F.lower("variant")).alias("have"))
+        short = keys.join(counted, key, "left").withColumn("have", F.coalesce("have", F.lit(0))).filter(F.col("have") < n)
+        got = store(more(short).withColumn("round", F.lit(i)))
+        have = have.unionByName(got)
     once = have.withColumn("__n", F.row_number().over(Window.partitionBy(key, F.lower("variant")).orderBy("round", "ord"))).filter("__n = 1")
     return once.withColumn("place", F.row_number().over(Window.partitionBy(key).orderBy("round", "ord"))).filter(F.col("place") <= n).drop("__n")
 
