@@ -40,3 +40,20 @@ def test_large_components_are_exact(spark):
     rows = [(i, [float(2**20 + 31 * i), float(i - 40) * 2**13, 1.5]) for i in range(80)]
     df = spark.createDataFrame([(i, v, 0, "x") for i, v in rows], SCHEMA)
     assert sorted(map(tuple, topk.top_k(df, 20).collect())) == brute(rows, 20, 5)
+
+
+def test_phases_sum_few_scores():
+    rng = np.random.default_rng(4)
+    q, x = rng.integers(-300, 300, (40, 64)), rng.integers(-300, 300, (3000, 64))
+    got = topk.work(q, x)
+    assert got["sufficient"] < 0.15 * 40 * 3000 and 0 < got["looked_up"] <= got["sufficient"]
+
+
+def test_huge_components_and_repeated_ids(spark):
+    rows = [(0, [1.0, 2.0]), (0, [1.0, 3.0]), (1, [1.0, 1.0]), (100, [-1e300, 1e300]), (2, [1e300, -1e300])]
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert len(got) == 3 * 4
+    assert sorted(r["rank"] for r in got if r["query_id"] == 0) == [1, 1, 2, 2, 3, 3, 4, 4]
+    wide = [(i, [float(i) * 1e5, 3e5]) for i in range(60)]
+    best = [r for r in topk.top_k(spark.createDataFrame(wide, "vec_id long, embedding array<double>"), k=2).collect() if r["query_id"] == 50]
+    assert [(r["vec_id"], r["score"]) for r in sorted(best, key=lambda r: r["rank"])] == [(59, 256**2 * (59 * 50 * 10**10 + 9 * 10**10)), (58, 256**2 * (58 * 50 * 10**10 + 9 * 10**10))]
