@@ -2,8 +2,9 @@
 
 A page becomes a row of text blocks. A linear classifier turns what is known of a block (its elements, their names,
 link density, length) into two costs: of calling it boilerplate and of calling it content; they are the capacities from
-the source and to the sink. Blocks that follow each other, and blocks that stand in one element, are joined by
-smoothness edges. The minimum cut is the cheapest labelling; blocks on the source's side are the main text.
+the source and to the sink. Blocks that follow each other are joined by smoothness edges, the stronger the nearer they
+stand in the document's tree, and so are blocks of one element. The minimum cut is the cheapest labelling; blocks on the
+source's side are the main text.
 """
 
 from __future__ import annotations
@@ -21,7 +22,9 @@ from promptloom.llm.shared import bound_batches
 
 # Fixed values of HTML: elements whose inside is never text of the page, elements that end a block, elements without
 # an end, and elements that mark what is not the article.
-HIDDEN = frozenset("script style noscript template svg math title textarea select option button iframe object canvas audio video".split())
+HIDDEN = frozenset("script style noscript template svg title textarea select datalist button iframe object canvas audio video".split())
+#: Of these, those whose inside ends at the first end tag, whatever it holds, or else with the page.
+RAW = frozenset("script style title textarea iframe".split())
 BREAKING = frozenset(
     "html head body div p h1 h2 h3 h4 h5 h6 ul ol li dl dt dd table thead tbody tfoot tr td th caption section article main aside nav header "
     "footer form fieldset legend label blockquote pre figure figcaption address details summary dialog hr center menu search".split()
@@ -41,58 +44,114 @@ BAD_NAMES = frozenset(
     "popup modal overlay newsletter subscribe subscription signup login paywall comment comments disqus replies reply respond copyright legal "
     "disclaimer pager pagination toolbar masthead topbar bottombar skip search tags tagcloud trending popular outbrain taboola byline meta".split()
 )
+#: Words that say what a page has, not what an element is: `has-sidebar`.
+STATE = frozenset("has with without no is js".split())
 HEAD_NAMES = frozenset("header head top".split())
 GOOD_NAMES = frozenset("article content main post entry story text body articlebody maincontent prose".split())
 
 #: Weights of the classifier, in hundredths: what speaks for content (+) or boilerplate (-).
 BIAS, IN_ARTICLE, IN_OUTSIDE, BAD, GOOD, PAGE_HEADER, LINKED, WORDY, SHORT, PARAGRAPH, HEADING, ITEM = -60, 300, -1200, -900, 150, -900, -500, 40, -80, 60, 50, 20
-#: Capacities of the edges between neighbours and between blocks of one element.
-NEXT, SAME = 30, 60
+#: The weight of links for blocks inside an article.
+LINKED_INSIDE = -150
+#: Capacities of the edges between neighbours, which grow by NEAR divided by their distance in the tree, and between blocks
+#: of one element.
+NEXT, NEAR, SAME = 20, 40, 60
+#: Share of a page's text that a wrapper holds whose names and tag say nothing.
+WRAPPER = 0.6
 
 _TAG = re.compile(r"<!--|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>|</([a-zA-Z][^\s/>]*)[^>]*>|<[!?][^>]*>")
 _ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _NAME = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
+_ENDS = {tag: re.compile(f"<(/?){tag}\\b[^>]*>", re.I) for tag in HIDDEN}
 
 
-def _evidence(tag: str, attributes: str) -> tuple[int, int]:
-    """(what an element says of all in it, bits: 1 article, 2 page header)."""
-    if tag in OUTSIDE:
-        return IN_OUTSIDE, 0
-    bits = 1 if tag in INSIDE else 2 if tag == "header" else 0
-    said = IN_ARTICLE if bits == 1 else 0
-    if attributes and tag not in ("html", "body"):
-        for m in _ATTRIBUTE.finditer(attributes):
-            names = {x.lower() for x in _NAME.findall(m[2] or m[3] or m[4] or "")}
-            if names & BAD_NAMES:
-                return BAD, bits & 1
-            if names & HEAD_NAMES:
-                bits |= 2
-            if names & GOOD_NAMES:
-                said = max(said, GOOD)
-    return said, bits
-
-
-def blocks(page: str) -> list[tuple[str, int, int]]:
-    """(text, evidence, element) of each block of text in page order."""
-    out: list[tuple[str, int, int]] = []
-    stack: list[tuple[str, int, int, int]] = [("", 0, 0, 0)]  # tag, evidence of all ancestors, bits, number
+def _named(attributes: str) -> tuple[bool, bool, bool]:
+    """Whether the names in class, id and role are those of boilerplate, of a header, of the article. A word of a class
+    speaks for itself: with a good word among them, bad ones are taken for details."""
+    bad = head = good = False
+    for m in _ATTRIBUTE.finditer(attributes):
+        worse = better = False
+        for word in (m[2] or m[3] or m[4] or "").split():
+            names = [x.lower() for x in _NAME.findall(word)]
+            if not names or names[0] in STATE:
+                continue
+            wrong = not BAD_NAMES.isdisjoint(names)
+            worse = worse or wrong
+            better = better or not wrong and not GOOD_NAMES.isdisjoint(names)
+            head = head or not wrong and not HEAD_NAMES.isdisjoint(names)
+        bad, good = bad or worse and not better, good or better
+    return bad, head, good
+
+
+class _Tree:
+    """A page's elements, each after its parent: what each says of all in it, and its blocks of text."""
+
+    def __init__(self):
+        self.tag, self.parent, self.depth, self.said, self.bits, self.wraps = [""], [0], [0], [0], [0], [False]
+        self.blocks: list[tuple[str, int, int]] = []  # text, its code points inside links, element
+
+    def add(self, tag: str, attributes: str, parent: int) -> int:
+        """bits: 1 article, 2 page header, 4 named like an article; wraps: may be judged wrongly if it holds the page."""
+        bad, head, good = _named(attributes) if attributes and tag not in ("html", "body") else (False, False, False)
+        bits = 1 if tag in INSIDE else 2 if tag == "header" else 0
+        if tag in OUTSIDE:
+            said = IN_OUTSIDE
+        elif bad:
+            said, bits = BAD, bits & 1
+        else:
+            bits |= 2 * head | 4 * good
+            said = max(IN_ARTICLE * (bits & 1), GOOD * good)
+        self.tag.append(tag)
+        self.parent.append(parent)
+        self.depth.append(self.depth[parent] + 1)
+        self.said.append(said)
+        self.bits.append(bits)
+        self.wraps.append(bad or tag == "form")
+        return len(self.tag) - 1
+
+    def judged(self) -> list[tuple[int, int]]:
+        """For each element the evidence of it and all around it, and whether an article is among these."""
+        n = len(self.tag)
+        plain, holds = [0] * n, [bits & 5 > 0 for bits in self.bits]
+        for text, linked, at in self.blocks:
+            plain[at] += len(text) - min(linked, len(text))
+        for i in range(n - 1, 0, -1):
+            plain[self.parent[i]] += plain[i]
+            holds[self.parent[i]] = holds[self.parent[i]] or holds[i]
+        out = [(0, 0)] * n
+        for i in range(1, n):
+            above, has = out[self.parent[i]]
+            said, bits = self.said[i], self.bits[i]
+            if self.wraps[i] and holds[i] and plain[i] >= WRAPPER * plain[0]:
+                said = IN_ARTICLE * (bits & 1)
+            if bits & 2 and not (has | bits) & 1:
+                said = min(said, 0) + PAGE_HEADER
+            out[i] = (above + said if said < 0 or not has else above + min(said, 50), has | bits & 1)
+        return out
+
+    def distance(self, a: int, b: int) -> int:
+        steps = 0
+        while a != b:
+            if self.depth[a] < self.depth[b]:
+                a, b = b, a
+            a = self.parent[a]
+            steps += 1
+        return steps
+
+
+def blocks(page: str) -> tuple[_Tree, list[tuple[str, int, int]]]:
+    """The page's tree and (text, evidence, element) of each block of text in page order."""
+    tree = _Tree()
+    stack, opened = [0], {"": 1}
     parts: list[str] = []
-    linked = anchors = number = 0
+    linked = anchors = 0
 
     def end() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html.unescape("".join(parts)).split())
             if text:
-                tag, said, _, _ = stack[-1]
-                n = len(text)
-                said += BIAS + LINKED * min(linked, n) // n + WORDY * min(10, n // 60) + (SHORT if n < 25 else 0)
-                said += PARAGRAPH if tag in ("p", "blockquote", "pre") else HEADING if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else ITEM if tag in ("li", "td") else 0
-                i = len(stack) - 1
-                while i > 0 and stack[i][0] in INNER:
-                    i -= 1
-                at = stack[i][3]
-                out.append((text, said, at))
+                tree.blocks.append((text, linked, stack[-1]))
             parts.clear()
         linked = 0
 
@@ -103,6 +162,9 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             if anchors:
                 linked += len(text)
 
+    def close() -> None:
+        opened[tree.tag[stack.pop()]] -= 1
+
     at = 0
     while True:
         m = _TAG.search(page, at)
@@ -116,22 +178,17 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
         elif m[1]:
             tag = m[1].lower()
             if tag in HIDDEN:
-                stop = re.compile(f"</{tag}\\b[^>]*>", re.I).search(page, at)
-                if tag in ("script", "style", "title", "textarea", "template", "noscript", "svg", "iframe") or stop:
-                    at = stop.end() if stop else len(page)
+                if not m[2].endswith("/"):
+                    at = _after(page, tag, at)
                 if tag in ("title", "textarea", "select", "iframe"):
                     end()
             elif tag in BREAKING:
                 end()
-                while len(stack) > 1 and stack[-1][0] in CLOSES.get(tag, ()):
-                    stack.pop()
+                while len(stack) > 1 and tree.tag[stack[-1]] in CLOSES.get(tag, ()):
+                    close()
                 if tag not in VOID and not m[2].endswith("/"):
-                    said, bits = _evidence(tag, m[2])
-                    above, has = stack[-1][1], stack[-1][2]
-                    if bits & 2 and not (has | bits) & 1:
-                        said = min(said, 0) + PAGE_HEADER
-                    number += 1
-                    stack.append((tag, above + said if said < 0 or not has & 1 else max(above, above + min(said, 50)), has | bits & 1, number))
+                    stack.append(tree.add(tag, m[2], stack[-1]))
+                    opened[tag] = opened.get(tag, 0) + 1
             elif tag == "a":
                 anchors = 1
             elif tag in ("br", "img", "input"):
@@ -140,14 +197,36 @@ def blocks(page: str) -> list[tuple[str, int, int]]:
             tag = m[3].lower()
             if tag in BREAKING:
                 end()
-                if any(x[0] == tag for x in reversed(stack)):
-                    while stack[-1][0] != tag:
-                        stack.pop()
-                    stack.pop()
+                if opened.get(tag):
+                    while tree.tag[stack[-1]] != tag:
+                        close()
+                    close()
             elif tag == "a":
                 anchors = 0
     end()
-    return out
+    judged, out = tree.judged(), []
+    for text, inside, element in tree.blocks:
+        said, article = judged[element]
+        tag, n = tree.tag[element], len(text)
+        said += BIAS + (LINKED_INSIDE if article else LINKED) * min(inside, n) // n + WORDY * min(10, n // 60) + (SHORT if n < 25 else 0)
+        said += PARAGRAPH if tag in ("p", "blockquote", "pre") else HEADING if tag in ("h1", "h2", "h3", "h4", "h5", "h6") else ITEM if tag in ("li", "td") else 0
+        around = element
+        while around and tree.tag[around] in INNER:
+            around = tree.parent[around]
+        out.append((text, said, around))
+    return tree, out
+
+
+def _after(page: str, tag: str, at: int) -> int:
+    """Where the hidden element ends that begins before `at`. A raw one that isn't closed hides the rest of the page; of
+    others only the tag goes."""
+    depth = 1
+    for m in _ENDS[tag].finditer(page, at):
+        if m[1] or tag not in RAW and not m[0].endswith("/>"):
+            depth += -1 if m[1] else 1
+        if not depth or tag in RAW and m[1]:
+            return m.end()
+    return len(page) if tag in RAW else at
 
 
 def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
@@ -209,12 +288,12 @@ def minimum_cut(source: list[int], sink: list[int], edges: list[tuple[int, int,
 
 def extract(page: str | None) -> str:
     """The main text of a page, a block a line; empty if there is none."""
-    found = blocks(page or "")
+    tree, found = blocks(page or "")
     edges, last = [], {}
     for i, (_, _, at) in enumerate(found):
         if i:
-            edges.append((i - 1, i, NEXT))
-        if at in last:
+            edges.append((i - 1, i, NEXT + NEAR // (1 + tree.distance(found[i - 1][2], at))))
+        if at in last and last[at] < i - 1:
             edges.append((last[at], i, SAME))
         last[at] = i
     side = minimum_cut([max(0, s) for _, s, _ in found], [max(0, -s) for _, s, _ in found], edges)
@@ -225,7 +304,7 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
     """One row per row of pages: page_id, url, text, n_chars (code points).
 
     A null or empty page, and one without content, has an empty text. Unclosed and unknown markup is read as far as it
-    goes; what follows an unclosed comment or script is dropped. Null ids and addresses pass through; repeated rows
+    goes; what follows an unclosed comment, script, style, title, textarea or iframe is dropped, as browsers do. Null ids and addresses pass through; repeated rows
     are alike; an empty table gives no rows; extra columns are ignored."""
     frame = pages.select(F.col(page_id).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html"))
 
