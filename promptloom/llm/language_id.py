@@ -39,33 +39,49 @@ def _letter_table() -> np.ndarray:
     return _letters[0]
 
 
+def _hashes(code: np.ndarray, fresh: int) -> np.ndarray:
+    """Features of the n-grams of 1 to 3 codes that end at or after place `fresh`."""
+    two = code[:-1] * np.uint32(0x9E3779B1) ^ code[1:] * np.uint32(0x85EBCA77)
+    three = two[:-1] * np.uint32(0xC2B2AE3D) + code[2:] * np.uint32(0x27D4EB2F)
+    parts = code[fresh:] * np.uint32(0x165667B1), two[max(0, fresh - 1) :], (three ^ (three >> np.uint32(7)))[max(0, fresh - 2) :]
+    return np.concatenate([(h ^ (h >> np.uint32(15))).astype(np.uint16) for h in parts])
+
+
+#: The feature of a space.
+_END = int(_hashes(np.array([32], np.uint32), 0)[0])
+
+
 def grams(text: str | None) -> tuple[np.ndarray, np.ndarray]:
-    """Features (hashed n-grams of 1 to 3 letters, words padded by a space) and their counts; empty without letters."""
-    table, total = _letter_table(), None
-    text = text or ""
-    for at in range(0, len(text), STEP):
-        # two characters of overlap, whose own n-grams are not counted again
-        low = text[max(0, at - 2) : at + STEP].lower().encode("utf-32-le", "surrogatepass")
-        code = np.frombuffer(low, "<u4")
+    """Features (hashed n-grams of 1 to 3 letters, words padded by a space) and their counts; empty without letters.
+
+    A text is read in steps, which carry its last two codes on, so each n-gram counts once, however long the text is."""
+    table, total, some = _letter_table(), None, False
+    low = (text or "").lower()
+    last, space = np.array([32], np.uint32), np.array([32], np.uint32)
+    for at in range(0, len(low), STEP):
+        code = np.frombuffer(low[at : at + STEP].encode("utf-32-le", "surrogatepass"), "<u4")
         letter = table[code]
-        if not letter.any():
-            continue
-        code = np.where(letter, code, 32).astype(np.uint32)
-        code = np.concatenate(([np.uint32(32)], code, [np.uint32(32)]))
-        code = code[np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))]
-        two = code[:-1] * np.uint32(0x9E3779B1) ^ code[1:] * np.uint32(0x85EBCA77)
-        three = two[:-1] * np.uint32(0xC2B2AE3D) + code[2:] * np.uint32(0x27D4EB2F)
-        found = np.sort(np.concatenate([(h ^ (h >> np.uint32(15))).astype(np.uint16) for h in (code[1:-1] * np.uint32(0x165667B1), two, three ^ (three >> np.uint32(7)))]), kind="stable")
-        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
-        part = found[first], np.diff(np.append(first, len(found)))
-        if total is None and len(text) <= STEP:
-            return part
-        total = np.zeros(FEATURES, np.int64) if total is None else total
-        total[part[0]] += part[1]
-    if total is None:
+        some = some or bool(letter.any())
+        code = np.concatenate((last, np.where(letter, code, 32).astype(np.uint32), space if at + STEP >= len(low) else space[:0]))
+        keep = np.concatenate(([True], (code[1:] != 32) | (code[:-1] != 32)))
+        keep[: len(last)] = True
+        code = code[keep]
+        found = _hashes(code, len(last))
+        last = code[-2:]
+        if len(low) > STEP:
+            total = np.bincount(found, minlength=FEATURES) + (0 if total is None else total)
+    if not some:
         return np.empty(0, np.uint16), np.empty(0, np.int64)
-    some = np.flatnonzero(total)
-    return some.astype(np.uint16), total[some]
+    # the space after the last word is no feature by itself
+    if total is None:
+        found = np.sort(found, kind="stable")
+        first = np.flatnonzero(np.concatenate(([True], found[1:] != found[:-1])))
+        f, n = found[first], np.diff(np.append(first, len(found)))
+    else:
+        f = np.flatnonzero(total).astype(np.uint16)
+        n = total[f]
+    n[f == _END] -= 1
+    return f[n > 0], n[n > 0]
 
 
 def weigh(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
@@ -218,7 +234,8 @@ def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:
 
     A null text or one without letters is `und` with score 0; so is every text if no document is labelled. Null
     languages are never learned; a null doc_id is neither learned from nor held out. Repeated rows are predicted
-    alike. An empty table gives no rows; extra columns are ignored, whatever their names."""
+    alike. An empty table gives no rows; extra columns are ignored, whatever their names. More than MAX_LANGUAGES
+    languages are an error, as the model is broadcast."""
     own = docs.select("doc_id", "text", "lang")
     return predict(own, fit(own, sample)).select(
         "doc_id", F.coalesce(remainder(F.col("doc_id")) == 1, F.lit(False)).alias("held_out"), "lang_pred", "score"

@@ -43,11 +43,22 @@ def test_edge_rows(edge, empty, docs):
 
 
 def test_grams_in_steps_equal_grams_at_once(monkeypatch):
-    text = "The quick brown fox, jumps over ÉÈ the lazy dog " * 50
-    a = language_id.grams(text)
-    monkeypatch.setattr(language_id, "STEP", 97)
-    b = language_id.grams(text)
-    assert set(a[0].tolist()) <= set(b[0].tolist()) and abs(a[1].sum() - b[1].sum()) < 0.15 * a[1].sum()
+    texts = ["The quick brown fox, jumps over ÉÈ the lazy dog " * 50, "ΣΑΣ  12 ab " * 40, "x" + " " * 300 + "y" + "!" * 200, "a", "ab c"]
+    once = [language_id.grams(t) for t in texts]
+    for step in (1, 2, 7, 97):
+        monkeypatch.setattr(language_id, "STEP", step)
+        for t, (f, n) in zip(texts, once):
+            g, m = language_id.grams(t)
+            assert g.tolist() == f.tolist() and m.tolist() == n.tolist()
+
+
+def test_grams_equal_a_plain_count():
+    def plain(text):
+        low = " " + " ".join("".join(c if c.isalpha() else " " for c in text.lower()).split()) + " "
+        return [low[i : i + n] for n in (1, 2, 3) for i in range(len(low) - n + 1) if n > 1 or 0 < i < len(low) - 1]
+
+    for t in ("One two, three!", "ÄÖ  x", "zzz zz z"):
+        assert language_id.grams(t)[1].sum() == len(plain(t)) and len(language_id.grams(t)[0]) <= len(set(plain(t)))
 
 
 def test_training_is_sparse_and_temperature_calibrates():
