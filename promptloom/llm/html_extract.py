@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import bound_batches
+from promptloom.llm.shared import bound_batches, trimmed
 
 # Fixed values of HTML: elements whose inside is never text of the page, elements that end a block, elements without
 # an end, and elements that mark what is not the article.
@@ -315,4 +315,4 @@ def main_text(pages: DataFrame, page_id: str = "page_id", url: str = "url", page
             texts = [extract(x.as_py()) for x in b.column(2)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(texts, pa.string()), pa.array(map(len, texts), pa.int64())], names=["page_id", "url", "text", "n_chars"])
 
-    return frame.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+    return frame.mapInArrow(trimmed(run), "page_id long, url string, text string, n_chars long")

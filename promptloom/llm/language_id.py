@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import bound_batches
+from promptloom.llm.shared import bound_batches, trimmed
 
 #: Labelled documents per language that the classifier is trained and calibrated on.
 SAMPLE = 1000
@@ -164,7 +164,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
         some = np.flatnonzero(df)
         yield pa.RecordBatch.from_arrays([pa.array(np.append(some, -1), pa.int32()), pa.array(np.append(df[some], n), pa.int64())], names=["f", "df"])
 
-    counted = train_rows.select("text").mapInArrow(frequencies, "f int, df long").groupBy("f").agg(F.sum("df").alias("df")).toPandas()
+    counted = train_rows.select("text").mapInArrow(trimmed(frequencies), "f int, df long").groupBy("f").agg(F.sum("df").alias("df")).toPandas()
     n = int(counted.loc[counted.f == -1, "df"].sum())
     df = np.zeros(FEATURES)
     known = counted[counted.f >= 0]
@@ -193,7 +193,7 @@ def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
                 yield pa.RecordBatch.from_arrays([pa.array([lang]), pa.array([k], pa.int32()), pa.array([f.tobytes()]), pa.array([np.minimum(c, 1 << 30).astype("<i4").tobytes()])], names=["lang", "k", "f", "c"])
 
     ids = F.broadcast(chosen.select("doc_id", "k"))  # at most sample rows a language
-    got = train_rows.join(ids, "doc_id").select("lang", "k", "text").mapInArrow(vectors, "lang string, k int, f binary, c binary").toPandas()
+    got = train_rows.join(ids, "doc_id").select("lang", "k", "text").mapInArrow(trimmed(vectors), "lang string, k int, f binary, c binary").toPandas()
     got = got.sort_values(["k", "lang", "f"]).reset_index(drop=True)
     rows, labels, held = [], [], []
     for r in got.itertuples():
@@ -226,7 +226,7 @@ def predict(docs: DataFrame, model: Model, text: str = "text", keep: bool = Fals
             )
 
     row = f", row {frame.schema['row'].dataType.simpleString()}" if keep else ""
-    return frame.mapInArrow(run, f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{row}")
+    return frame.mapInArrow(trimmed(run), f"doc_id {frame.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double{row}")
 
 
 def language_id(docs: DataFrame, sample: int = SAMPLE) -> DataFrame:

@@ -18,7 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import bound_batches, materialize
+from promptloom.llm.shared import bound_batches, materialize, trimmed
 
 CAPACITY = 4096
 #: Ends each document.
@@ -96,7 +96,7 @@ def pieces(docs: DataFrame, vocabulary: str, capacity: int = CAPACITY, text: str
                                              names=["uid", "doc_id", "piece", "start", "length", "ids_crc32"])
 
     return docs.select(F.monotonically_increasing_id().alias("uid"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(
-        run, "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
+        trimmed(run), "uid long, doc_id long, piece int, start long, length long, ids_crc32 long"
     )
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import bound_batches, materialize
+from promptloom.llm.shared import bound_batches, materialize, trimmed
 
 KINDS = ("email", "ip", "card", "phone")
 ROUNDS = 3
@@ -157,7 +157,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
 
     one = "array<struct<k:int,s:int,e:int>>"
     rows = materialize(
-        frame.mapInArrow(run, f"doc_id long, base_sha256 string, base {one}, seen array<struct<k:int,s:int,e:int,instance:string,patterns:array<string>>>")
+        frame.mapInArrow(trimmed(run), f"doc_id long, base_sha256 string, base {one}, seen array<struct<k:int,s:int,e:int,instance:string,patterns:array<string>>>")
         .withColumn("rid", F.monotonically_increasing_id()), "identifiers",
     )
     sights = rows.select("rid", F.explode("seen").alias("x")).select("rid", "x.*")

@@ -19,7 +19,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import ROW, attach, bound_batches, components, materialize, numbered, stored, without_rows
+from promptloom.llm.shared import ROW, attach, bound_batches, components, materialize, numbered, stored, trimmed, without_rows
 
 SHINGLE = 3
 DISTANCE = 2
@@ -59,7 +59,7 @@ def fingerprints(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", ri
             got = np.array([fingerprint(x.as_py()) for x in b.column(2)], np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(got)], names=["doc_id", "rid", "fp"])
 
-    return frame.mapInArrow(run, "doc_id long, rid long, fp long")
+    return frame.mapInArrow(trimmed(run), "doc_id long, rid long, fp long")
 
 
 def pigeonring_pairs(nodes: DataFrame) -> DataFrame:

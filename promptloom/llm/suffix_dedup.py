@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from promptloom.llm.shared import ROW, TABLE_BITS, attach, bit_table, drop_table, hits, materialize, numbered, release, split_rows, stored
+from promptloom.llm.shared import ROW, TABLE_BITS, attach, bit_table, bound_batches, drop_table, hits, materialize, numbered, release, split_rows, stored, trimmed
 
 WIDTH = 50
 GRAM = 32
@@ -40,6 +40,8 @@ WINDOW = 19
 CUT, LONGEST = 256, 4096
 #: Bytes of strings in a block, and keys in a range.
 BLOCK_BYTES, RANGE_KEYS = 3 << 20, 1 << 20
+#: A range is 16 bits of a merge key; more ranges are an error.
+MOST_RANGES = 1 << 16
 #: Text that is hashed at a time.
 STEP = 1 << 20
 LAST = (1 << 63) - 1
@@ -99,7 +101,7 @@ def _bit_table(pieces: list, bits: int, parts: int) -> np.ndarray:
 
 def _parts(total: int) -> int:
     """Ranges of anchors, a power of 2, for so many bytes of text."""
-    return 1 << max(6, (total // 10 // RANGE_KEYS).bit_length())
+    return 1 << min(24, max(6, (total // 10 // RANGE_KEYS).bit_length()))
 
 
 def _split_hash(h: np.ndarray, parts: int) -> tuple[np.ndarray, np.ndarray]:
@@ -167,7 +169,7 @@ def _repeated_anchors(rows: DataFrame, total: int) -> np.ndarray:
             flags[place] = True
         return pa.table({"part": pa.array([part], pa.int32()), "raw": pa.array([np.packbits(flags, bitorder="little").tobytes()])})
 
-    return _bit_table(rows.select("rid", "text").mapInArrow(scan, "part int, h binary, twice binary").groupBy("part").applyInArrow(merge, "part int, raw binary").collect(), TABLE_BITS, parts)
+    return _bit_table(rows.select("rid", "text").mapInArrow(trimmed(scan), "part int, h binary, twice binary").groupBy("part").applyInArrow(merge, "part int, raw binary").collect(), TABLE_BITS, parts)
 
 
 def _pieces(rows: DataFrame, anchors, parts: int) -> DataFrame:
@@ -199,7 +201,7 @@ def _pieces(rows: DataFrame, anchors, parts: int) -> DataFrame:
                 types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.binary())
                 yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), types)], names=["rid", "doc", "start", "h", "g", "body"])
 
-    return rows.select("rid", "doc", "text").mapInArrow(scan, "rid long, doc long, start long, h long, g long, body binary")
+    return rows.select("rid", "doc", "text").mapInArrow(trimmed(scan), "rid long, doc long, start long, h long, g long, body binary")
 
 
 class _Block:
@@ -259,6 +261,18 @@ class _Block:
         return at, ranks[at + shift].astype(np.uint64) << np.uint64(16) | self.text[at + a].astype(np.uint64) << np.uint64(8) | self.text[at + b]
 
 
+    def merged(self, ranks: np.ndarray, shift: int) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct merge keys in order, the block's smallest doc of each, positions, and their keys' places."""
+        at, keys = self.merge_keys(ranks, shift)
+        order = np.argsort(keys, kind="stable")
+        k, d = keys[order], self.docs[at][order]
+        new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
+        first = np.flatnonzero(new)
+        inverse = np.empty(len(k), np.int64)
+        inverse[order] = np.cumsum(new) - 1
+        return k[first], np.minimum.reduceat(d, first) if len(d) else d, at, inverse
+
+
 def _distinct(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     """Positions of one of each distinct key, in order, and each key's place among them."""
     order = np.lexsort(keys[::-1])
@@ -278,13 +292,13 @@ def _received(replies: pa.Table, kind: int) -> np.ndarray:
     return np.concatenate([np.zeros(0, np.int64), *parts])
 
 
-def _send(block: int, ranges: np.ndarray, arrays: list[np.ndarray], count: int) -> pa.Table:
-    """Sorted arrays, of no wider types than needed, cut into rows by key range."""
+def _send(block: int, ranges: np.ndarray, arrays: list[np.ndarray], count: int, first: int = 0) -> pa.Table:
+    """Sorted arrays, of no wider types than needed, cut into rows by key range; ranges are numbered from `first`."""
     arrays = arrays + [np.empty(0, np.uint8)] * (5 - len(arrays))
     ends = np.searchsorted(ranges, np.arange(count + 1))
     some = [i for i in range(count) if ends[i] < ends[i + 1]]
     columns = {f"k{j}": pa.array([a[ends[i] : ends[i + 1]].tobytes() for i in some], pa.binary()) for j, a in enumerate(arrays)}
-    return pa.table({"range": pa.array(some, pa.int32()), "block": pa.array([block] * len(some), pa.int32())} | columns)
+    return pa.table({"range": pa.array([first + i for i in some], pa.int32()), "block": pa.array([block] * len(some), pa.int32())} | columns)
 
 
 _KEYS = "range int, block int, k0 binary, k1 binary, k2 binary, k3 binary, k4 binary"
@@ -325,6 +339,8 @@ def _least_documents(strings: DataFrame, total: int) -> DataFrame:
     """strings(h, g, doc, body, block) -> h, g, at, least: from window `at` of a string on, the smallest doc that the
     50 bytes stand in; the string's own doc before the first."""
     count = max(8, -(-total * 2 // 3 // RANGE_KEYS))
+    if count > MOST_RANGES:
+        raise ValueError(f"{count} key ranges, but keys hold {MOST_RANGES}: RANGE_KEYS must grow")
     spark = strings.sparkSession
     # splitters from at most 20,000 strings' first words: they only even out the ranges
     heads = strings.select(F.substring("body", 2, 8).alias("w")).orderBy(F.xxhash64("w")).limit(20_000).toPandas()["w"]
@@ -352,40 +368,36 @@ def _least_documents(strings: DataFrame, total: int) -> DataFrame:
     two = materialize(blocks.cogroup(one.groupBy("block")).applyInArrow(second, _KEYS).groupBy("range").applyInArrow(_name(2), _REPLY), "ranks")
     release(spark)
     both = one.unionByName(two)
-    least = None
-    def round_of(shift: int):
-        def merge(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
-            b = _Block(table)
-            at, keys = b.merge_keys(b.ranks(replies), shift)
-            order = np.lexsort((b.docs[at], keys))
-            k, d = keys[order], b.docs[at][order]
-            new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-            k, d = k[new], d[new]
-            return _send(key[0].as_py(), (k >> np.uint64(48)).astype(np.int64), [k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16), d.astype(np.uint32), (d >> 32).astype(np.int32)], count)
-
-        def compare(table: pa.Table) -> pa.Table:
-            (low, middle, d_low, d_high), ends = _read(table, (np.uint32, np.uint16, np.uint32, np.int32))
-            k = np.uint64(table["range"][0].as_py()) << np.uint64(48) | middle.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
-            d = d_high.astype(np.int64) << 32 | d_low.astype(np.int64)
-            order = np.lexsort((d, k))
-            new = np.concatenate(([True], k[order][1:] != k[order][:-1]))
-            best = np.empty(len(k), np.int64)
-            best[order] = d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
-            out = []
-            for i, (a, z) in enumerate(zip(ends, ends[1:])):
-                less = np.flatnonzero(best[a:z] < d[a:z]) + a
-                if len(less):
-                    out.append((table["block"][i].as_py(), table["range"][i].as_py(), 10 + shift, np.concatenate((k[less].view(np.int64), best[less])).tobytes()))
-            columns = list(zip(*out)) or [()] * 4
-            return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "range", "kind", "names"), columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))})
 
-        return merge, compare
-
-    for shift in (0, 1, 2):
-        merge, compare = round_of(shift)
-        got = materialize(blocks.cogroup(both.groupBy("block")).applyInArrow(merge, _KEYS).groupBy("range").applyInArrow(compare, _REPLY), "merged")
-        release(spark)
-        least = got if least is None else least.unionByName(got)
+    def merge(key: tuple, table: pa.Table, replies: pa.Table) -> pa.Table:
+        # all pairs of residues at once: ranks are made once, and a block moves once; ranges say which pair is meant
+        b = _Block(table)
+        ranks, sent = b.ranks(replies), []
+        for shift in (0, 1, 2):
+            k, d, _, _ = b.merged(ranks, shift)
+            columns = [k.astype(np.uint32), (k >> np.uint64(32)).astype(np.uint16), d.astype(np.uint32), (d >> 32).astype(np.int32)]
+            sent.append(_send(key[0].as_py(), (k >> np.uint64(48)).astype(np.int64), columns, count, shift * count))
+        return pa.concat_tables(sent)
+
+    def compare(table: pa.Table) -> pa.Table:
+        (low, middle, d_low, d_high), ends = _read(table, (np.uint32, np.uint16, np.uint32, np.int32))
+        shift, part = divmod(table["range"][0].as_py(), count)
+        k = np.uint64(part) << np.uint64(48) | middle.astype(np.uint64) << np.uint64(32) | low.astype(np.uint64)
+        d = d_high.astype(np.int64) << 32 | d_low.astype(np.int64)
+        order = np.lexsort((d, k))
+        new = np.concatenate(([True], k[order][1:] != k[order][:-1]))
+        best = np.empty(len(k), np.int64)
+        best[order] = d[order][np.flatnonzero(new)][np.cumsum(new) - 1]
+        out = []
+        for i, (a, z) in enumerate(zip(ends, ends[1:])):
+            less = np.flatnonzero(best[a:z] < d[a:z]) + a
+            if len(less):
+                out.append((table["block"][i].as_py(), part, 10 + shift, np.concatenate((k[less].view(np.int64), best[less])).tobytes()))
+        columns = list(zip(*out)) or [()] * 4
+        return pa.table({n: pa.array(c, t) for n, c, t in zip(("block", "range", "kind", "names"), columns, (pa.int32(), pa.int32(), pa.int32(), pa.binary()))})
+
+    least = materialize(blocks.cogroup(both.groupBy("block")).applyInArrow(merge, _KEYS).groupBy("range").applyInArrow(compare, _REPLY), "merged")
+    release(spark)
 
     def last(table: pa.Table, replies: pa.Table) -> pa.Table:
         if not len(table):
@@ -393,18 +405,12 @@ def _least_documents(strings: DataFrame, total: int) -> DataFrame:
         b = _Block(table)
         ranks, best = b.ranks(replies), b.docs.copy()
         for shift in (0, 1, 2):
-            at, keys = b.merge_keys(ranks, shift)
-            order = np.lexsort((b.docs[at], keys))
-            k, d = keys[order], b.docs[at][order]
-            new = np.concatenate(([True], k[1:] != k[:-1])) if len(k) else np.zeros(0, bool)
-            k, d = k[new], d[new].copy()  # the block's own smallest doc of each key
+            k, d, at, inverse = b.merged(ranks, shift)
             mine = replies.filter(pa.array(replies["kind"].to_numpy() == 10 + shift))
             for x in mine["names"]:
                 theirs, less = np.frombuffer(x.as_py(), np.int64).reshape(2, -1)
                 d[np.searchsorted(k, theirs.view(np.uint64))] = less
-            own = np.empty(len(at), np.int64)
-            own[order] = d[np.cumsum(new) - 1]
-            best[at] = np.minimum(best[at], own)
+            best[at] = np.minimum(best[at], d[inverse])
         # windows' smallest doc changes rarely along a string: runs are kept
         new = np.concatenate(([True], best[1:] != best[:-1]))
         new[b.starts] = True
@@ -419,8 +425,8 @@ def _least_documents(strings: DataFrame, total: int) -> DataFrame:
         })
 
     runs = materialize(blocks.cogroup(both.unionByName(least).groupBy("block")).applyInArrow(last, "h long, g long, at array<int>, least array<long>"), "runs")
-    drop_table(one)
-    drop_table(two)
+    for table in (one, two, least):
+        drop_table(table)
     return runs
 
 
@@ -432,7 +438,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     ignored.
 
     A text that also stands whole in a document of smaller doc_id goes whole, and takes no part in the sort."""
-    # scanned twice, so rows need a number that doesn't hang on the scan's partitions
+    # scanned again and again, so rows need a number that doesn't hang on the scan's partitions
+    bound_batches(docs.sparkSession)
     frame = numbered(
         stored(docs, text, doc_id), F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(doc_id).cast("long"), F.lit(LAST)).alias("doc"),
         F.coalesce(F.col(text), F.lit("")).alias("text"),
@@ -446,7 +453,8 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     sent = docs.sparkSession.sparkContext.broadcast(bit_table(gone, "rid"))
 
     own = frame.select("rid", "doc", "text")
-    rows = materialize(split_rows(own, "rid", sent, False).unionByName(split_rows(own, "rid", sent, True).join(gone, "rid", "left_anti")), "texts")
+    # not stored: a scan costs less than another copy of the texts
+    rows = split_rows(own, "rid", sent, False).unionByName(split_rows(own, "rid", sent, True).join(gone, "rid", "left_anti"))
     total = int(facts.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0])
     anchors = docs.sparkSession.sparkContext.broadcast(_repeated_anchors(rows, total))
     pieces = materialize(_pieces(rows, anchors, _parts(total)), "pieces")
@@ -456,12 +464,18 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     size = int(strings.agg(F.coalesce(F.sum(F.octet_length("body")), F.lit(0)).cast("long")).first()[0])
     blocks = max(1, -(-size // BLOCK_BYTES))
     runs = _least_documents(strings.select("h", "g", "doc", "body", F.pmod(F.xxhash64("h"), F.lit(blocks)).cast("int").alias("block")), size)
-    known = runs.join(strings.select("h", "g", "n", F.octet_length("body").alias("length")), ["h", "g"]).withColumn("hg", F.struct("h", "g")).drop("h", "g")
+    whole_strings, strings = strings, materialize(strings.select("h", "g", "n", F.octet_length("body").alias("length")), "lengths")
+    drop_table(whole_strings)
+    release(docs.sparkSession)
+    known = runs.join(strings, ["h", "g"]).withColumn("hg", F.struct("h", "g")).drop("h", "g")
     # a run from `at` to the next one's; it goes if its smallest doc is smaller than this one
     ends = F.expr("transform(at, (x, i) -> struct(x as a, coalesce(try_element_at(at, i + 2), length - 49) as z, least[i] as d))")
     placed = attach(pieces.select("rid", "doc", "start", F.struct("h", "g").alias("hg")), known.select("hg", "n", ends.alias("runs")), "hg", "n", max(1, n))
     spans = placed.select("rid", "doc", "start", F.explode("runs").alias("r")).filter("r.d < doc").select("rid", (F.col("start") + F.col("r.a")).alias("a"), (F.col("start") + F.col("r.z") + WIDTH - 1).alias("z"))
     spans = materialize(spans.groupBy("rid").agg(F.array_sort(F.collect_list(F.struct("a", "z"))).alias("spans")), "spans")
+    for table in (pieces, runs, strings):
+        drop_table(table)
+    release(docs.sparkSession)
     some = docs.sparkSession.sparkContext.broadcast(bit_table(spans, "rid"))
     cut = split_rows(rows.select("rid", "text"), "rid", some, True).join(spans, "rid").select("rid", "text", F.col("spans.a").alias("a"), F.col("spans.z").alias("z"))
 
@@ -484,7 +498,7 @@ def substring_dedup(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
             types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(list(zip(*out)) or [()] * 5, types)], names=["rid", "n_removed", "n_spans", "kept_sha256", "kept"])
 
-    changed = cut.mapInArrow(remove, "rid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
+    changed = cut.mapInArrow(trimmed(remove), "rid long, n_removed long, n_spans long, kept_sha256 string, kept binary")
     whole = gone.select("rid", F.lit(True).alias("whole"))
     all_rows = facts.join(changed, "rid", "left").join(whole, "rid", "left")
     is_whole = F.col("whole").isNotNull()
