@@ -4,6 +4,10 @@ Base entities (e-mail and IP addresses, card and phone numbers in their standard
 a seed are its lexical patterns. Spark scores the graph of patterns and instances for a few rounds: a pattern is as good
 as the share of its instances that are known, an instance as good as its best pattern; patterns above CONFIDENCE with
 enough instances behind them make the other identifiers in their place known too.
+
+What may be discovered are identifier-like tokens in general: words with an @ or a spelled one, and groups of digits with
+or without a plus or an opening bracket. A pattern tells these two types apart and nothing finer; a discovered instance
+must only have a number of digits, or dots, that its kind can have.
 """
 
 from __future__ import annotations
@@ -24,16 +28,23 @@ ROUNDS = 3
 CONFIDENCE, SUPPORT = 0.9, 5
 #: Longest word of a pattern, in code points; longer ones are no context.
 LONGEST = 24
-#: Digits of an identifier.
+#: Digits of an identifier, and those that a discovered phone or card number may have.
 FEWEST, MOST = 5, 19
+PHONE_DIGITS, CARD_DIGITS = (5, 15), (12, 19)
 
 _DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_MAIL = re.compile(
+    r"[A-Za-z0-9._%+-]{1,64}(?:@|[\x20]?[\[(][\x20]?at[\x20]?[\])][\x20]?)[A-Za-z0-9-]{1,64}"
+    r"(?:(?:\.|[\x20]?[\[(][\x20]?dot[\x20]?[\])][\x20]?)[A-Za-z0-9-]{1,64}){0,8}", re.I
+)
 _RUN = re.compile(r"[0-9](?:[0-9 ().\-]*[0-9])?")
 _IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789._%+-")
 _NOT_DIGIT = re.compile(r"[^0-9]+")
+_DIGITS = re.compile(r"[+(]?[0-9][0-9 ().\-]*\Z")
+_DOTTED = re.compile(r"[0-9]\.(?=[0-9])")
 _AFTER = re.compile(r"[^\S\n]*(\S+)")
 
 
@@ -88,7 +99,7 @@ def _word(text: str) -> str:
 
 
 def _patterns(text: str, a: int, b: int, shape: str) -> list[str]:
-    """What stands around a span, with the span's shape."""
+    """What stands around a span, with the span's type."""
     left = text[max(0, a - 3 * LONGEST) : a].rsplit("\n", 1)[-1].split(" ")
     glued = left[-1] if left else ""
     words = [w for w in map(_word, left[:-1] if not glued else left) if w] if not glued or not glued[-1].isalnum() else []
@@ -104,31 +115,53 @@ def _patterns(text: str, a: int, b: int, shape: str) -> list[str]:
     return out
 
 
-def _shape(span: str) -> str:
-    return "@" if "@" in span else re.sub(r"[0-9]+", "0", span)
+def _type(span: str) -> str:
+    return "0" if _DIGITS.match(span) else "@"
+
+
+def _may_be(run: str) -> int:
+    """Bits of the kinds that a group of digits may be of."""
+    n = len(_NOT_DIGIT.sub("", run))
+    dotted = len(_DOTTED.findall(run)) >= 3
+    return 2 * dotted + 4 * (CARD_DIGITS[0] <= n <= CARD_DIGITS[1] and not dotted) + 8 * (PHONE_DIGITS[0] <= n <= PHONE_DIGITS[1] and not dotted)
 
 
 def observe(text: str | None) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int, str, list[str]]]]:
-    """Base spans (kind, start, end), and all identifiers with patterns: (kind or -1, start, end, span, patterns)."""
+    """Base spans (kind, start, end), and all identifiers with patterns: (kind, start, end, span, patterns). The kind of
+    what isn't a base span is -1 less the bits of the kinds that it may be of."""
     text = text or ""
     found, runs = base_spans(text)
     spans = [(k, a, b) for k, own in enumerate(found) for a, b in own]
     taken = sorted((a, b) for _, a, b in spans)
     seen = [(k, a, b) for k, a, b in spans]
-    i = 0
+
+    def free(candidates):
+        """Those that don't overlap what is taken."""
+        i = 0
+        for a, b, kinds in candidates:
+            while i < len(taken) and taken[i][1] <= a:
+                i += 1
+            if i == len(taken) or taken[i][0] >= b:
+                yield -1 - kinds, a, b
+
+    if "@" in text or "at]" in text or "at)" in text:
+        mails = list(free((*m.span(), 1) for m in _MAIL.finditer(text)))
+        seen += mails
+        taken = sorted(taken + [(a, b) for _, a, b in mails])
+    numbers = []
     for a, b in runs:
-        if b - a < FEWEST:
-            continue
-        while i < len(taken) and taken[i][1] <= a:
-            i += 1
-        if i < len(taken) and taken[i][0] < b:
+        if b - a < FEWEST or not FEWEST <= len(_NOT_DIGIT.sub("", text[a:b])) <= MOST:
             continue
+        kinds = _may_be(text[a:b])
+        if a and (text[a - 1] == "+" or text[a - 1] == "(" and ")" in text[a:b]):
+            a -= 1
         whole = not (a and (text[a - 1].isalnum() or text[a - 1] in "_@")) and not (b < len(text) and (text[b].isalnum() or text[b] in "_@"))
-        if whole and FEWEST <= len(_NOT_DIGIT.sub("", text[a:b])) <= MOST:
-            seen.append((-1, a - (a > 0 and text[a - 1] == "+"), b))
+        if whole and kinds:
+            numbers.append((a, b, kinds))
+    seen += free(numbers)
     out = []
     for k, a, b in seen:
-        if b - a <= 100 and (p := _patterns(text, a, b, _shape(text[a:b]))):
+        if b - a <= 100 and (p := _patterns(text, a, b, _type(text[a:b]))):
             out.append((k, a, b, text[a:b], p))
     return spans, out
 
@@ -137,7 +170,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
     """One row per row of docs: doc_id, n_email, n_ip, n_card, n_phone (base spans), base_sha256, spans.
 
     spans lists base and discovered spans as kind:start:end, by kind and start, in code points. A null or empty text
-    has none. A span that is discovered doesn't overlap a base one. Repeated rows count as further evidence. An empty
+    has none. A span that is discovered doesn't overlap a base one, nor another one. Repeated rows count as further evidence. An empty
     table gives no rows; extra columns are ignored."""
     frame = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     span = pa.struct([("k", pa.int32()), ("s", pa.int32()), ("e", pa.int32())])
@@ -173,7 +206,7 @@ def personal_data(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", r
         good = total.filter((F.col("top.n") >= support) & (F.col("top.weight") / F.col("all") >= confidence)).select(
             "pattern", F.col("top.kind").alias("kind"), (F.col("top.weight") / F.col("all")).alias("score")
         )
-        new = graph.filter("k < 0").join(good, "pattern").groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
+        new = graph.filter("k < 0").join(good, "pattern").filter("shiftright(-1 - k, kind) % 2 = 1").groupBy("instance").agg(F.max(F.struct("score", "kind")).alias("b"))
         found = materialize(new.select("instance", "b.kind", "b.score"), "found")
         known = graph.filter("k >= 0").select("instance", F.col("k").alias("kind"), F.lit(1.0).alias("score")).distinct().unionByName(found)
     more = sights.filter("k < 0").select("rid", "s", "e", "instance").join(found, "instance")
