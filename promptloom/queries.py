@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from promptloom.functions import stats, text
 from promptloom.operators import corpus, edits, extract, importance, ranking, similarity
+from promptloom.sources import files, sinks
 from promptloom.streaming import events as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -661,3 +662,141 @@ SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS "end", count(*
 """)
 def user_sessions(spark, sf_dir):
     return streams.sessions(_t(spark, sf_dir, "events"), "ts", "user_id").select("user_id", F.col("start").cast("timestamp_ntz").alias("start"), F.col("end").cast("timestamp_ntz").alias("end"), "n")
+
+
+# --- sources and sinks: what a sink writes, a scan reads back ---------------------------------------------------------
+
+_ITEM_SQL = """(SELECT item_id, trim(regexp_replace(text, '["|\\n\\r\\t]+', ' ', 'g')) AS phrase FROM benchmark)"""
+
+
+def _items(spark, sf_dir) -> DataFrame:
+    """item_id, phrase: the benchmark's texts without quotes, bars and line breaks."""
+    return _t(spark, sf_dir, "benchmark").select("item_id", F.trim(F.regexp_replace("text", '["|\n\r\t]+', " ")).alias("phrase"))
+
+
+def _phrase_files(spark, sf_dir) -> DataFrame:
+    rows = _items(spark, sf_dir).select(F.col("item_id").alias("prompt_id"), F.lit(0).alias("ord"), "phrase", text.word_count(F.col("phrase")).alias("word_count"))
+    return sinks.phrase_lines(rows).select("value")
+
+
+@query(f"SELECT phrase, {_WORDS_SQL.format('phrase')}::INT AS word_count, item_id::INT AS prompt_id FROM {_ITEM_SQL}")
+def phrase_scan_strict(spark, sf_dir):
+    return files.phrases_strict(_phrase_files(spark, sf_dir)).select("phrase", "word_count", "prompt_id")
+
+
+@query(f"SELECT phrase FROM {_ITEM_SQL}")
+def phrase_scan_prefixed(spark, sf_dir):
+    return files.phrases_prefixed(_phrase_files(spark, sf_dir)).select("phrase")
+
+
+@query(f"SELECT phrase, {_WORDS_SQL.format('phrase')} || ' words' AS words, 'prompt_' || item_id AS prompt FROM {_ITEM_SQL}")
+def phrase_scan_loose(spark, sf_dir):
+    return files.phrases_loose(_phrase_files(spark, sf_dir)).select("phrase", "words", "prompt")
+
+
+@query(f"SELECT phrase FROM {_ITEM_SQL}")
+def phrase_scan_quoted(spark, sf_dir):
+    return files.phrases_quoted(_phrase_files(spark, sf_dir)).select("phrase")
+
+
+def _prompt_files(spark, sf_dir) -> DataFrame:
+    body = F.concat(F.lit("About "), F.col("item_id").cast("string"), F.lit(", as told here:\n\n"), "phrase")
+    return sinks.prompt_blocks(_items(spark, sf_dir).select(F.col("item_id").alias("prompt_id"), body.alias("text"))).select("value")
+
+
+_BODY_SQL = "'About ' || item_id || ', as told here:' || chr(10) || chr(10) || phrase"
+
+
+@query(f"SELECT item_id::INT AS prompt_id, {_BODY_SQL} AS text FROM {_ITEM_SQL}")
+def prompt_scan_scored(spark, sf_dir):
+    return files.prompts_scored(_prompt_files(spark, sf_dir), last=None)
+
+
+@query(f"SELECT item_id::INT AS prompt_id, {_BODY_SQL} AS text FROM {_ITEM_SQL} WHERE item_id <= 34")
+def prompt_scan_scored_first(spark, sf_dir):
+    return files.prompts_scored(_prompt_files(spark, sf_dir))
+
+
+@query(f"SELECT 1 AS prompt_id, {_BODY_SQL} AS text FROM {_ITEM_SQL}")
+def prompt_scan_positional(spark, sf_dir):
+    return files.prompts_positional(_prompt_files(spark, sf_dir))
+
+
+@query(f"SELECT item_id::INT AS prompt_id, {_BODY_SQL} AS text FROM {_ITEM_SQL}")
+def prompt_scan_labelled(spark, sf_dir):
+    return files.prompts_labelled(_prompt_files(spark, sf_dir))
+
+
+@query(f"SELECT 1 AS prompt_id, 'About ' || item_id || ', as told here: ' || phrase AS text FROM {_ITEM_SQL}")
+def prompt_scan_flattened(spark, sf_dir):
+    return files.prompts_flattened(_prompt_files(spark, sf_dir))
+
+
+_VARIANT_SQL = f"""(SELECT 'item ' || item_id AS phrase, k AS variant_no, CASE k WHEN 1 THEN 'again ' || phrase WHEN 2 THEN phrase ELSE 'last of ' || item_id END AS variant,
+round((item_id % 100) / 100.0::DOUBLE, 2) AS similarity FROM {_ITEM_SQL}, (SELECT unnest([1, 2, 3]) AS k))"""
+
+
+def _paraphrase_files(spark, sf_dir) -> DataFrame:
+    k, item = F.col("variant_no"), F.col("item_id").cast("string")
+    rows = _items(spark, sf_dir).withColumn("variant_no", F.explode(F.array(*map(F.lit, (1, 2, 3)))))
+    variant = F.when(k == 1, F.concat(F.lit("again "), "phrase")).when(k == 2, F.col("phrase")).otherwise(F.concat(F.lit("last of "), item))
+    return sinks.paraphrase_blocks(rows.select(F.concat(F.lit("item "), item).alias("phrase"), "variant_no", variant.alias("variant"), F.round(F.col("item_id") % 100 / 100.0, 2).alias("similarity")))
+
+
+@query(f"SELECT * FROM {_VARIANT_SQL}")
+def paraphrase_scan(spark, sf_dir):
+    return files.paraphrases(_paraphrase_files(spark, sf_dir))
+
+
+@query(f"SELECT * FROM {_VARIANT_SQL} WHERE variant_no <= 2")
+def paraphrase_scan_top(spark, sf_dir):
+    return files.paraphrases(_paraphrase_files(spark, sf_dir), top=2)
+
+
+def _user_file(spark, sf_dir) -> DataFrame:
+    rows = _items(spark, sf_dir).select(F.concat(F.lit("c"), (F.col("item_id") % 4).cast("string")).alias("category"), F.col("item_id").alias("ord"), F.col("phrase").alias("text"))
+    return sinks.user_prompt_json(rows, "from the benchmark")
+
+
+@query(f"SELECT 'c' || (item_id % 4) AS category, (row_number() OVER (PARTITION BY item_id % 4 ORDER BY item_id) - 1)::INT AS ord, phrase AS text FROM {_ITEM_SQL}")
+def user_prompt_categories(spark, sf_dir):
+    return files.categories(_user_file(spark, sf_dir))
+
+
+@query(f"SELECT (row_number() OVER (ORDER BY f, item_id) - 1)::INT AS ord, phrase AS text FROM (SELECT *, min(item_id) OVER (PARTITION BY item_id % 4) AS f FROM {_ITEM_SQL})")
+def user_prompt_scan(spark, sf_dir):
+    return files.user_prompts(_user_file(spark, sf_dir)).select("ord", "text")
+
+
+def _ranked(spark, sf_dir) -> DataFrame:
+    rows = _t(spark, sf_dir, "orders").select(F.col("o_custkey").alias("prompt_id"), F.col("o_orderkey").cast("string").alias("phrase"), F.col("o_totalprice").alias("kl_score"), "o_orderkey")
+    return ranking.rank_in_group(rows, "prompt_id", "kl_score", "o_orderkey").drop("o_orderkey")
+
+
+_RANKED_SQL = "(SELECT o_custkey AS prompt_id, o_orderkey::VARCHAR AS phrase, o_totalprice AS kl_score, row_number() OVER (PARTITION BY o_custkey ORDER BY o_totalprice DESC, o_orderkey)::INT AS rank FROM orders)"
+
+
+@query(f"SELECT prompt_id, count(*) OVER (PARTITION BY prompt_id)::INT AS num_phrases, rank, phrase, kl_score FROM {_RANKED_SQL}")
+def result_summary(spark, sf_dir):
+    return sinks.summary(_ranked(spark, sf_dir)).select("prompt_id", "num_phrases", F.inline("ranked_phrases")).select("prompt_id", "num_phrases", "rank", "phrase", "kl_score")
+
+
+@query(f"SELECT prompt_id, phrase, kl_score FROM {_RANKED_SQL} WHERE rank = 1 ORDER BY kl_score DESC, prompt_id LIMIT 10")
+def overall_best(spark, sf_dir):
+    return sinks.overall_summary(_ranked(spark, sf_dir)).select(F.inline("top_overall"))
+
+
+@query(f"SELECT row_number() OVER (ORDER BY kl_score DESC, prompt_id)::INT AS place, phrase AS label, kl_score FROM {_RANKED_SQL} WHERE rank = 1")
+def chart_bars(spark, sf_dir):
+    return sinks.chart(_ranked(spark, sf_dir))
+
+
+@query("SELECT r_regionkey, r_name FROM region")
+def stored_rows_scan(spark, sf_dir):
+    return files.rows(spark, f"{sf_dir}/region.parquet").select("r_regionkey", "r_name")
+
+
+@query("SELECT * FROM (VALUES ('regions', true), ('absent', false)) t(name, found)")
+def file_probe(spark, sf_dir):
+    found = files.ready(spark, {"regions": [f"{sf_dir}/nothing.parquet", f"{sf_dir}/region.parquet"], "absent": [f"{sf_dir}/nothing.parquet"]})
+    return spark.createDataFrame([(n, p is not None) for n, p in sorted(found.items())], "name string, found boolean")

@@ -212,3 +212,20 @@ def test_providers(spark):
     assert len(vec) == 16 and sum(x * x for x in vec) == pytest.approx(1)
     table = TableProvider(spark.createDataFrame([("a", 0)], "cache_key string, sample_no int"), rows)
     assert table.sample(spark.createDataFrame([("a",)], "cache_key string")).count() == 1
+
+
+def test_top_up_asks_for_keys_without_variants_and_counts_distinct_ones(spark):
+    from promptloom.providers import top_up
+
+    asked = []
+
+    def more(short):
+        got = {r["k"]: r["have"] for r in short.collect()}
+        asked.append(got)
+        return spark.createDataFrame([(k, i, f"{k} new {len(asked)} {i}") for k in got for i in range(1)], "k string, ord int, variant string")
+
+    first = spark.createDataFrame([("a", 0, "x"), ("a", 1, "X"), ("b", 0, "p"), ("b", 1, "q")], "k string, ord int, variant string")
+    keys = spark.createDataFrame([("a",), ("b",), ("c",)], "k string")
+    got = sorted((r["k"], r["place"], r["variant"]) for r in top_up(keys, first, more, "k", 2).collect())
+    assert asked[0] == {"a": 1, "c": 0} and asked[1] == {"c": 1}
+    assert got == [("a", 1, "x"), ("a", 2, "a new 1 0"), ("b", 1, "p"), ("b", 2, "q"), ("c", 1, "c new 1 0"), ("c", 2, "c new 2 0")]
