@@ -7,6 +7,7 @@ from __future__ import annotations
 
 import unicodedata
 from collections import Counter
+from collections.abc import Callable
 from functools import reduce
 
 import pandas as pd
@@ -195,16 +196,23 @@ def decimals(c: Column, places: int = 6, percent: bool = False) -> Column:
     return F.format_string(f"%.{places}f" + ("%%" if percent else ""), c)
 
 
+def bound(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body of a value that is computed once: what a lambda mentions from outside is else computed for each element."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def log_softmax(scores: Column) -> Column:
-    """Of an array of doubles."""
-    top = F.array_max(scores)
-    total = F.aggregate(scores, F.lit(0.0), lambda s, x: s + F.exp(x - top))
-    return F.transform(scores, lambda x: x - top - F.log(total))
+    """Of an array of doubles, in linear time."""
+    def shifted(own: Column, top: Column) -> Column:
+        total = F.aggregate(own, F.lit(0.0), lambda s, x: s + F.exp(x - top))
+        return bound(top + F.log(total), lambda z: F.transform(own, lambda x: x - z))
+
+    return bound(scores, lambda own: bound(F.array_max(own), lambda top: shifted(own, top)))
 
 
 def gathered_sum(scores: Column, chosen: Column) -> Column:
     """The sum of the scores at positions (from 0)."""
-    return F.aggregate(chosen, F.lit(0.0), lambda s, i: s + F.element_at(scores, (i + 1).cast("int")))
+    return bound(scores, lambda own: F.aggregate(chosen, F.lit(0.0), lambda s, i: s + F.element_at(own, (i + 1).cast("int"))))
 
 
 def negation_flip(a: Column, b: Column) -> Column:

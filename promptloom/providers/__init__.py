@@ -6,17 +6,19 @@ models in numbers; the operators around them are the same. Models are loaded onc
 
 from __future__ import annotations
 
+import os
 import time
-from collections.abc import Callable
-from dataclasses import dataclass, field
-from typing import Protocol
+from collections.abc import Callable, Mapping, Sequence
+from dataclasses import dataclass, field, replace
+from typing import Protocol, TypeVar
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from promptloom.functions.text import PROTECTED, reply_lines, tokens
+from promptloom.functions.text import PROTECTED, chrf_plus_plus, cosine, edit_ratio, jaccard, norm_tokens, reply_lines, tokens
+from promptloom.operators.edits import GATES, gate_chain
 
 
 class LogProbProvider(Protocol):
@@ -99,10 +101,64 @@ class GenerationConfig:
     greatest_similarity: float = 0.9
 
 
+# The models and the address that are used if none is named.
+DEFAULT_MODELS = {"together": "meta-llama/Meta-Llama-3.1-70B-Instruct", "openai": "gpt-4-turbo-preview", "anthropic": "claude-3-opus-20240229"}
+ENDPOINTS = {"together": "https://api.together.xyz/v1/completions"}
 # Environment variables that keys are read from.
 KEY_VARIABLES = {"together": "TOGETHER_API_KEY", "openai": "OPENAI_API_KEY", "anthropic": "ANTHROPIC_API_KEY"}
 
 
+def resolved(config: GenerationConfig, environment: Mapping[str, str] = os.environ) -> tuple[GenerationConfig, str | None]:
+    """The settings with the provider's default model and endpoint where none is given, and its key. To be called on
+    the driver; of an unknown provider both must be given."""
+    if config.provider not in DEFAULT_MODELS and not (config.model and config.endpoint):
+        raise ValueError(f"no defaults for the provider {config.provider}")
+    model, endpoint = config.model or DEFAULT_MODELS[config.provider], config.endpoint or ENDPOINTS.get(config.provider)
+    return replace(config, model=model, endpoint=endpoint), environment.get(KEY_VARIABLES.get(config.provider, ""))
+
+
+Model = TypeVar("Model")
+
+
+def first_loaded(loaders: Sequence[Callable[[], Model]], missing: str = "error") -> Model | None:
+    """The first model that loads. If none does: an error, or None with missing="pass", and then what the model
+    would have measured is null, which the gates let pass. Only a model that isn't there counts as missing."""
+    if missing not in ("error", "pass"):
+        raise ValueError(missing)
+    failed: Exception | None = None
+    for load in loaders:
+        try:
+            return load()
+        except (ImportError, OSError) as e:
+            failed = e
+    if missing == "error":
+        raise RuntimeError("no model could be loaded") from failed
+    return None
+
+
+@dataclass(frozen=True)
+class Verifier:
+    """What R12 measures candidates with, and its gates. encoder(rows, key, text) -> id, vec;
+    inference(premise, hypothesis) -> struct with `entailment`, or None for no filtering by it."""
+
+    encoder: Callable[[DataFrame, str, str], DataFrame] = hashed_embedding
+    inference: Callable[[Column, Column], Column] | None = overlap_nli
+    gates: Mapping[str, float] = field(default_factory=lambda: dict(GATES))
+
+    def failed_gates(self, rows: DataFrame, source: str, candidate: str) -> DataFrame:
+        """rows with `cosine` and `failed_gate`, null for candidates that pass all. Each distinct text is encoded once."""
+        texts = rows.select(F.col(source).alias("t")).union(rows.select(candidate)).filter("t is not null").distinct()
+        vectors = self.encoder(texts, "t", "t")
+        both = rows.join(vectors.select(F.col("id").alias(source), F.col("vec").alias("__a")), source, "left").join(vectors.select(F.col("id").alias(candidate), F.col("vec").alias("__b")), candidate, "left")
+        a, b = F.col(source), F.col(candidate)
+        none = F.lit(None).cast("double")
+        forward, backward = (none, none) if self.inference is None else (self.inference(a, b)["entailment"], self.inference(b, a)["entailment"])
+        measured = both.withColumn("cosine", cosine(F.col("__a"), F.col("__b")))
+        lemmas = jaccard(norm_tokens(a), norm_tokens(b), empty=1.0)
+        failed = gate_chain(a, b, F.col("cosine"), chrf_plus_plus(b, a), edit_ratio(a, b), lemmas, forward, backward, gates=dict(self.gates))
+        return measured.withColumn("failed_gate", failed).select(*rows.columns, "cosine", "failed_gate")
+
+
 @dataclass(frozen=True)
 class Generation:
     """`ask` (prompt -> reply) is called in Arrow batches on the executors, with retries after 1, 2, ...
@@ -134,6 +190,12 @@ class Generation:
 
         return requests.withColumn("reply", call(F.col(prompt)))
 
+    def batch(self, phrases: DataFrame, key: str, text: str, n: int = 5) -> DataFrame:
+        """Key, text, variants (an array, empty where the model failed or gave none)."""
+        asked = phrases.select(key, text, generation_prompt(F.col(text), n).alias("prompt"))
+        made = self.paraphrases(asked, key, text, n=n).groupBy(key).agg(F.transform(F.array_sort(F.collect_list(F.struct("ord", "variant"))), lambda x: x["variant"]).alias("variants"))
+        return phrases.select(key, text).join(made, key, "left").withColumn("variants", F.coalesce("variants", F.array().cast("array<string>")))
+
     def paraphrases(self, requests: DataFrame, key: str, text: str, prompt: str = "prompt", n: int | None = None) -> DataFrame:
         """key, text, ord, variant; without the source itself."""
         rows = self.replies(requests, prompt).select(key, text, F.posexplode(reply_lines(F.col("reply"))).alias("ord", "variant")).filter(F.col("variant") != F.col(text))

@@ -10,6 +10,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from promptloom import providers
 from promptloom.functions import stats, text
 from promptloom.operators import corpus, edits, extract, importance, ranking, similarity
 from promptloom.sources import files, sinks
@@ -800,3 +801,234 @@ def stored_rows_scan(spark, sf_dir):
 def file_probe(spark, sf_dir):
     found = files.ready(spark, {"regions": [f"{sf_dir}/nothing.parquet", f"{sf_dir}/region.parquet"], "absent": [f"{sf_dir}/nothing.parquet"]})
     return spark.createDataFrame([(n, p is not None) for n, p in sorted(found.items())], "name string, found boolean")
+
+
+# --- texts of models and reports -------------------------------------------------------------------------------------
+
+
+@query("SELECT doc_id, CASE WHEN regexp_extract('You are ' || text, '(?s)You are ([^,]+),', 1) = '' THEN 'Assistant' ELSE regexp_extract('You are ' || text, '(?s)You are ([^,]+),', 1) END AS assistant FROM documents WHERE text IS NOT NULL")
+def assistant_names(spark, sf_dir):
+    rows = _t(spark, sf_dir, "documents").filter("text is not null")
+    return rows.select("doc_id", text.assistant_name(F.concat(F.lit("You are "), "text")).alias("assistant"))
+
+
+@query("""
+WITH parts AS (SELECT conv_id, turn, trim(regexp_replace(unnest(str_split_regex(text, '[.] |\n')), '\\s+', ' ', 'g')) AS variant FROM conversations)
+SELECT conv_id, turn, variant FROM parts WHERE length(variant) > 5
+""")
+def parsed_replies(spark, sf_dir):
+    numbered = F.concat(F.lit("1. "), F.replace(F.col("text"), F.lit(". "), F.lit("\n - ")))
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", F.explode(text.reply_lines(numbered)).alias("variant"))
+
+
+@query("SELECT conv_id, turn, trim(text) AS clean, regexp_replace(text, '\\.+$', '') AS undotted FROM conversations")
+def dividers_cleaned(spark, sf_dir):
+    c = F.col("text")
+    return _t(spark, sf_dir, "conversations").select("conv_id", "turn", text.clean_divider(F.concat(F.lit("=== "), c, F.lit(" =====\n"))).alias("clean"), text.rstrip_dots(c).alias("undotted"))
+
+
+@query("SELECT o_orderkey, printf('%.3f', o_totalprice) AS three, printf('%.6f', o_totalprice) AS six FROM orders")
+def number_formats(spark, sf_dir):
+    c = F.col("o_totalprice").cast("double")
+    return _t(spark, sf_dir, "orders").select("o_orderkey", text.decimals(c, 3).alias("three"), text.decimals(c).alias("six"))
+
+
+@query("SELECT event_id, strftime(ts, '%Y-%m-%d %H:%M:%S') AS stamp FROM events")
+def report_stamps(spark, sf_dir):
+    return _t(spark, sf_dir, "events").select("event_id", sinks.stamp(F.col("ts")).alias("stamp"))
+
+
+@query("""
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: x::DOUBLE) AS v FROM embeddings WHERE len(embedding) >= 4)
+SELECT vec_id, round(v[1] + v[3] + v[4] - 3 * ln(list_sum(list_transform(v, lambda x: exp(x)))), 6) AS logp FROM e
+""")
+def gathered_log_softmax(spark, sf_dir):
+    scores = F.transform("embedding", lambda x: x.cast("double"))
+    logp = text.gathered_sum(text.log_softmax(scores), F.array(F.lit(0), F.lit(2), F.lit(3)))
+    return _t(spark, sf_dir, "embeddings").filter("size(embedding) >= 4").select("vec_id", F.round(logp, 6).alias("logp"))
+
+
+@query(f"SELECT item_id, phrase AS plain FROM {_ITEM_SQL}")
+def prefixes_stripped(spark, sf_dir):
+    return _items(spark, sf_dir).select("item_id", extract.strip_prefix(F.concat(F.lit("You ARE  are "), "phrase")).alias("plain"))
+
+
+@query("SELECT doc_id FROM documents WHERE length(text) >= 20")
+def long_enough_texts(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").filter(corpus.long_enough(F.col("text"))).select("doc_id")
+
+
+@query(f"SELECT doc_id, array_to_string(list_slice({_TOKENS.format('text')}, 1, 100), ' ') AS head FROM documents")
+def first_hundred_tokens(spark, sf_dir):
+    return _t(spark, sf_dir, "documents").select("doc_id", F.array_join(stats.truncate_tokens(text.tokens(F.col("text"))), " ").alias("head"))
+
+
+@query("SELECT l_orderkey, l_linenumber, round(l_extendedprice::DOUBLE * l_quantity::DOUBLE * l_discount::DOUBLE * l_tax::DOUBLE * 0.5::DOUBLE, 8) AS importance FROM lineitem")
+def importance_factors(spark, sf_dir):
+    own = [F.col(c).cast("double") for c in ("l_extendedprice", "l_quantity", "l_discount", "l_tax")]
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", F.round(stats.importance(*own, F.lit(0.5)), 8).alias("importance"))
+
+
+@query("SELECT l_orderkey, l_linenumber, greatest(l_discount, l_tax) > 0.05 AS entails FROM lineitem")
+def entailed_either_way(spark, sf_dir):
+    return _t(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", edits.either_entails(F.col("l_discount"), F.col("l_tax"), 0.05).alias("entails"))
+
+
+@query(f"""
+WITH t AS (SELECT doc_id, list_distinct({_TOKENS.format('d.text')}) AS a, list_distinct({_TOKENS.format('b.text')}) AS b, {_TOKENS.format('d.text')} AS x, {_TOKENS.format('b.text')} AS y FROM {_PAIR}),
+s AS (SELECT *, CASE WHEN len(b) = 0 THEN 0 ELSE len(list_intersect(a, b))::DOUBLE / len(b) END AS e FROM t)
+SELECT doc_id, round(e, 6)::DOUBLE AS entailment, round((1 - e) * (1 - e), 6)::DOUBLE AS contradiction,
+round(CASE WHEN greatest(len(x), len(y)) = 0 THEN 1 ELSE len(list_filter(list_zip(x, y), lambda p: p[1] = p[2]))::DOUBLE / greatest(len(x), len(y)) END, 6)::DOUBLE AS positions FROM s
+""")
+def overlap_measures(spark, sf_dir):
+    nli = providers.overlap_nli(F.col("text"), F.col("item"))
+    same = text.position_overlap(text.tokens(F.col("text")), text.tokens(F.col("item")))
+    return _doc_item(spark, sf_dir).select("doc_id", *[F.round(nli[c], 6).alias(c) for c in ("entailment", "contradiction")], F.round(same, 6).alias("positions"))
+
+
+@query(f"""SELECT item_id, 'Give 7 rewordings of the phrase "' || phrase || '" that say the same. One a line, nothing else.' AS simple,
+'Write 4 paraphrases of the phrase below. Keep its meaning, length and tone, and these words if it has them: must, may.' || chr(10) || 'One on each line, numbered.' || chr(10) || chr(10) || 'Phrase: "' || phrase || '"' || chr(10)
+|| 'They must differ from:' || chr(10) || '- a' || chr(10) || '- b' || chr(10) || '- c' || chr(10) || '- d' || chr(10) || '- e' AS additional FROM {_ITEM_SQL}""")
+def request_texts(spark, sf_dir):
+    told = F.array(*map(F.lit, "abcdefg"))
+    p = F.col("phrase")
+    return _items(spark, sf_dir).select("item_id", providers.simple_prompt(p, 7).alias("simple"), providers.generation_prompt(p, 4, told, ("must", "may")).alias("additional"))
+
+
+# --- paraphrase selection --------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH r AS (SELECT id, other, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, l2)::INT AS place FROM {_GATE_ROWS} WHERE similarity BETWEEN 0.3 AND 0.42 AND abs(l1 - l2)::DOUBLE / (l1 + 20) <= 0.1)
+SELECT * FROM r
+""")
+def reranked(spark, sf_dir):
+    said = lambda c: F.repeat(F.lit("w "), (F.col(c) + 20).cast("int"))
+    rows = _gate_rows(spark, sf_dir).withColumn("cosine", F.col("similarity")).withColumn("source", said("l1")).withColumn("candidate", said("l2"))
+    return edits.rerank(rows, "id", "source", "candidate", 0.3, 0.42).select("id", "other", "place")
+
+
+_EDITS_SQL = f"""r(old, new, ord) AS (VALUES {_RULES_SQL}), m AS (SELECT conv_id, turn, text, ord::INT AS ord, regexp_replace(text, '(?i)\\b' || old || '\\b', new) AS variant FROM conversations, r),
+made AS (SELECT * FROM m WHERE variant <> text)"""
+
+
+@query(f"""
+WITH {_EDITS_SQL}, o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, lower(variant) ORDER BY ord) AS k FROM made WHERE lower(variant) <> lower(text)),
+g AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY ord)::INT AS place FROM o WHERE k = 1 AND length(variant) % 3 > 0)
+SELECT conv_id, turn, ord, variant, place FROM g WHERE place <= 2
+""")
+def verified_variants(spark, sf_dir):
+    rows = edits.minimal_edits(_t(spark, sf_dir, "conversations").withColumn("key", F.struct("conv_id", "turn")))
+    failed = F.when(F.length("variant") % 3 == 0, "length")
+    return edits.verified(rows, "key", "text", "variant", failed, k=2).select("conv_id", "turn", "ord", "variant", "place")
+
+
+@query(f"""
+WITH {_EDITS_SQL}, mixed AS (SELECT conv_id, turn, text, 0 AS kind, ord, variant FROM made UNION ALL SELECT conv_id, turn, text, 1, k::INT, CASE k WHEN 0 THEN lower(text) WHEN 1 THEN 'Or: ' || text ELSE text || '.' END FROM conversations, (SELECT unnest([0, 1, 2]) AS k)),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn, variant ORDER BY kind, ord) AS n FROM mixed WHERE variant <> text AND variant <> lower(text)),
+p AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY kind, ord) AS place FROM o WHERE n = 1)
+SELECT conv_id, turn, ord, variant FROM p WHERE place <= 2
+""")
+def candidate_union(spark, sf_dir):
+    rows = _t(spark, sf_dir, "conversations").select(F.struct("conv_id", "turn").alias("key"), "text")
+    said = rows.select("key", "text", F.posexplode(F.array(F.lower("text"), F.concat(F.lit("Or: "), "text"), F.concat("text", F.lit(".")))).alias("ord", "variant"))
+    return edits.candidates(edits.minimal_edits(rows), said, "key", n=2).select("key.*", "ord", "variant")
+
+
+@query(f"""
+WITH b AS (SELECT id, other, similarity, l2, row_number() OVER (PARTITION BY id, l2 ORDER BY other) AS k FROM {_GATE_ROWS} WHERE similarity BETWEEN 0.3 AND 0.4 AND l1 <> l2),
+p AS (SELECT id, other, 'SAID ' || l2 AS variant, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other)::INT AS place FROM b WHERE k = 1)
+SELECT * FROM p WHERE place <= 3
+""")
+def generated_in_band(spark, sf_dir):
+    said = lambda word, c: F.concat(F.lit(word), F.col(c).cast("string"))
+    rows = _gate_rows(spark, sf_dir).select("id", said("said ", "l1").alias("text"), F.col("other").alias("ord"), said("SAID ", "l2").alias("variant"), "similarity")
+    return providers.filter_generated(rows, "id", "text", 0.3, 0.4, 3).select("id", F.col("ord").alias("other"), "variant", "place")
+
+
+@query(f"""SELECT item_id, CASE WHEN item_id % 5 = 0 THEN '' ELSE 'again: ' || phrase || '|' || 'once more: ' || phrase END AS variants FROM {_ITEM_SQL}""")
+def batch_generation(spark, sf_dir):
+    def ask(prompt: str) -> str:
+        number, said = prompt.split('Phrase: "', 1)[1][:-1].split(" ", 1)
+        if int(number) % 5 == 0:
+            raise RuntimeError("no reply")
+        return f"1. again: {said}\n2. {number} {said}\n- once more: {said}"
+
+    rows = _items(spark, sf_dir).withColumn("said", F.concat(F.col("item_id").cast("string"), F.lit(" "), "phrase"))
+    return providers.Generation(ask, retries=1).batch(rows, "item_id", "said").select("item_id", F.array_join("variants", "|").alias("variants"))
+
+
+@query(f"""
+WITH f AS (SELECT item_id, phrase, split_part(phrase, ' ', 1) AS word FROM {_ITEM_SQL}), v AS (SELECT DISTINCT word FROM f)
+SELECT item_id, word, k::INT AS variant_no, r_regionkey, (CASE k WHEN 1 THEN 'Now ' ELSE '' END || word || substr(phrase, length(word) + 1)) AS changed FROM f, (SELECT unnest([1, 2]) AS k), region
+""")
+def importance_requests(spark, sf_dir):
+    found = _items(spark, sf_dir).select("item_id", F.col("phrase").alias("text"), F.split_part("phrase", F.lit(" "), F.lit(1)).alias("phrase"))
+    keyed = found.groupBy(text.phrase_key(F.col("phrase")).alias("phrase_key")).agg(F.min("phrase").alias("word"))
+    variants = keyed.select("phrase_key", F.posexplode(F.array(F.concat(F.lit("Now "), "word"), F.col("word"))).alias("k", "variant")).select("phrase_key", (F.col("k") + 1).alias("variant_no"), "variant")
+    users = _t(spark, sf_dir, "region").select("r_regionkey", F.col("r_name").alias("user"))
+    return importance.scoring_requests(found, variants, users).select("item_id", F.col("phrase").alias("word"), "variant_no", "r_regionkey", "changed")
+
+
+@query("""
+WITH c AS (SELECT 0 AS part, r_regionkey AS o, 0 AS s, 'You are ' || r_name || ', a region.' AS t FROM region),
+b AS (SELECT n_nationkey AS o, n_name, 'You are ' || n_name || ', of ' || n_regionkey || '. You are calm. Help. Stop.' AS t FROM nation),
+v AS (SELECT 2 AS part, o, k AS s, CASE k WHEN 0 THEN 'Dear ' || n_name || '!' WHEN 1 THEN n_name || ' and ' || n_name ELSE 'plain' END AS t FROM b, (SELECT unnest([0, 1, 2]) AS k) WHERE o < 3),
+h AS (SELECT * FROM c UNION ALL SELECT 1, o, 0, t FROM b UNION ALL SELECT * FROM v),
+head AS (SELECT row_number() OVER (ORDER BY part, o, s)::INT AS place, t AS text FROM h)
+SELECT * FROM head WHERE place <= 100 UNION ALL SELECT (i + n + 1)::INT, s_name FROM (SELECT count(*) AS n FROM head), (SELECT unnest(range(100)) AS i), (SELECT s_name, row_number() OVER (ORDER BY s_suppkey) - 1 AS k, count(*) OVER () AS all_of FROM supplier) WHERE i + n + 1 <= 100 AND i % all_of = k
+""")
+def assembled_corpus(spark, sf_dir):
+    nation, c = _t(spark, sf_dir, "nation"), F.col
+    canonical = _t(spark, sf_dir, "region").select(c("r_regionkey").alias("ord"), F.format_string("You are %s, a region.", "r_name").alias("text"))
+    base = nation.select(c("n_nationkey").alias("ord"), corpus.base_prompt(c("n_name"), F.format_string("of %d", "n_regionkey"), F.lit("calm"), F.lit("Help."), F.lit("Stop.")).alias("text"))
+    templates = spark.createDataFrame([("polarity", 0, "Dear {name}!"), ("length", 1, "{name} and {name}"), ("style", 2, "plain")], "kind string, ord int, template string")
+    extended = corpus.renumber(_t(spark, sf_dir, "supplier"), "s_suppkey", "k").select((c("k") - 1).alias("ord"), c("s_name").alias("text"))
+    return corpus.assemble(spark, canonical, base, templates, extended)
+
+
+# --- reports ---------------------------------------------------------------------------------------------------------
+
+
+@query(f"""
+WITH p AS (SELECT item_id, phrase, {_WORDS_SQL.format('phrase')} AS n FROM {_ITEM_SQL})
+SELECT 1 AS section, '"' || phrase || '" | ' || n || ' words | prompt_' || item_id AS value FROM p
+UNION ALL SELECT 2, 'Total unique phrases: ' || count(*) FROM p UNION ALL SELECT 3, '  ' || n || ' words: ' || count(*) || ' phrases' FROM p GROUP BY n
+UNION ALL SELECT 4, '  Short (2-3 words): ' || count(*) FILTER (n <= 3) FROM p UNION ALL SELECT 4, '  Medium (4-7 words): ' || count(*) FILTER (n BETWEEN 4 AND 7) FROM p
+UNION ALL SELECT 4, '  Long (8+ words): ' || count(*) FILTER (n >= 8) FROM p
+""")
+def phrase_report_lines(spark, sf_dir):
+    rows = _items(spark, sf_dir).select(F.col("item_id").alias("prompt_id"), F.lit(0).alias("ord"), "phrase", text.word_count(F.col("phrase")).alias("word_count"))
+    return sinks.phrase_report(rows).select("section", "value")
+
+
+@query("""
+WITH s AS (SELECT (SELECT count(*) FROM part) AS total, count(DISTINCT l_partkey) AS good, count(*) AS n FROM lineitem)
+SELECT 0 AS ord, '  Total original phrases: ' || total AS value FROM s UNION ALL SELECT 1, '  Phrases with variants: ' || good FROM s UNION ALL SELECT 2, '  Total variants generated: ' || n FROM s
+UNION ALL SELECT 3, '  Average variants per successful phrase: ' || printf('%.1f', n::DOUBLE / good) FROM s WHERE good > 0
+""")
+def paraphrase_report_totals(spark, sf_dir):
+    variants = _t(spark, sf_dir, "lineitem").select(F.col("l_partkey").alias("phrase"), F.col("l_discount").alias("similarity"))
+    return sinks.paraphrase_totals(_t(spark, sf_dir, "part"), variants)
+
+
+@query(f"""
+WITH r AS (SELECT prompt_id, 'mean: ' || printf('%.6f', avg(kl_score)::DOUBLE) || chr(10) || 'median: ' || printf('%.6f', median(kl_score)::DOUBLE) || chr(10) || 'std: ' || printf('%.6f', stddev_pop(kl_score)::DOUBLE) || chr(10)
+|| 'least: ' || printf('%.6f', min(kl_score)::DOUBLE) || chr(10) || 'greatest: ' || printf('%.6f', max(kl_score)::DOUBLE) AS figures,
+string_agg(printf('%3d. %.6f  "%s"', rank, kl_score::DOUBLE, phrase), chr(10) ORDER BY rank) AS lines FROM {_RANKED_SQL} GROUP BY prompt_id)
+SELECT prompt_id, 'PHRASE RANKING OF PROMPT ' || prompt_id || chr(10) || repeat('=', 80) || chr(10) || c_name || chr(10) || repeat('-', 80) || chr(10) || figures || chr(10) || repeat('-', 80) || chr(10) || lines AS value
+FROM r JOIN customer ON c_custkey = prompt_id
+""")
+def prompt_reports(spark, sf_dir):
+    prompts = _t(spark, sf_dir, "customer").select(F.col("c_custkey").alias("prompt_id"), F.col("c_name").alias("text"))
+    return sinks.prompt_report(_ranked(spark, sf_dir), prompts)
+
+
+@query(f"SELECT phrase, variant_no::INT AS variant_no, variant, similarity, 'test' AS made_by FROM {_VARIANT_SQL}")
+def paraphrase_json_rows(spark, sf_dir):
+    variants = files.paraphrases(_paraphrase_files(spark, sf_dir))
+    shape = "metadata map<string,string>, paraphrases map<string,struct<paraphrases:array<string>,similarities:array<double>>>"
+    read = sinks.paraphrase_json(variants, {"by": "test"}).select(F.from_json("value", shape).alias("x"))
+    each = read.select(F.col("x.metadata")["by"].alias("made_by"), F.explode("x.paraphrases").alias("phrase", "v"))
+    zipped = each.select("made_by", "phrase", F.posexplode(F.arrays_zip("v.paraphrases", "v.similarities")).alias("k", "z"))
+    return zipped.select("phrase", (F.col("k") + 1).alias("variant_no"), F.col("z.paraphrases").alias("variant"), F.col("z.similarities").alias("similarity"), "made_by")

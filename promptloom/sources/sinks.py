@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from promptloom.functions.stats import length_categories
 from promptloom.functions.text import decimals, ellipsis
+from promptloom.operators.corpus import run_summary
 from promptloom.operators.ranking import best_of_group, frequency, top_winners
 
 
@@ -64,6 +66,38 @@ def phrase_lines(phrases: DataFrame) -> DataFrame:
     return phrases.select("prompt_id", "ord", F.format_string('"%s" | %d words | prompt_%d', "phrase", "word_count", "prompt_id").alias("value"))
 
 
+def stamp(at: Column | None = None) -> Column:
+    """A report's time, the current one by default."""
+    return F.date_format(at if at is not None else F.current_timestamp(), "yyyy-MM-dd HH:mm:ss")
+
+
+def phrase_report(phrases: DataFrame) -> DataFrame:
+    """K6: section, ord, value: the lines of phrase_lines(), then the number of phrases, those of each word count, and the
+    length categories."""
+    words = F.col("word_count")
+    lines = phrase_lines(phrases).select(F.lit(1).alias("section"), F.struct("prompt_id", "ord").alias("o"), "value")
+    body = lines.select("section", F.col("o.prompt_id").cast("long").alias("major"), F.col("o.ord").cast("long").alias("minor"), "value")
+
+    def section(n: int, minor: Column, value: Column) -> list[Column]:
+        return [F.lit(n).alias("section"), F.lit(0).cast("long").alias("major"), minor.cast("long").alias("minor"), value.alias("value")]
+
+    total = phrases.agg(F.count("*").alias("n")).select(*section(2, F.lit(0), F.format_string("Total unique phrases: %d", "n")))
+    counted = phrases.groupBy(words).agg(F.count("*").alias("n")).select(*section(3, words, F.format_string("  %d words: %d phrases", "word_count", "n")))
+    names = ("Short (2-3 words)", "short"), ("Medium (4-7 words)", "medium"), ("Long (8+ words)", "long")
+    kinds = length_categories(phrases, words).select(F.posexplode(F.array(*[F.concat(F.lit(f"  {a}: "), F.col(b).cast("string")) for a, b in names])).alias("k", "v")).select(*section(4, F.col("k"), F.col("v")))
+    return body.unionByName(total).unionByName(counted).unionByName(kinds)
+
+
+def paraphrase_totals(phrases: DataFrame, variants: DataFrame) -> DataFrame:
+    """K7: ord, value: the report's closing lines: phrases, those with variants, variants, and their average if any."""
+    s = run_summary(phrases, variants)
+    lines = (
+        F.format_string("  Total original phrases: %d", "total"), F.format_string("  Phrases with variants: %d", "with_variants"),
+        F.format_string("  Total variants generated: %d", "variants"), F.when(F.col("with_variants") > 0, F.format_string("  Average variants per successful phrase: %.1f", "average")),
+    )
+    return s.select(F.posexplode(F.array(*lines)).alias("ord", "value")).filter("value is not null")
+
+
 def paraphrase_blocks(variants: DataFrame) -> DataFrame:
     """K7: the blocks that paraphrases() reads, one row a phrase."""
     score = F.when(F.col("similarity").isNotNull(), F.format_string(" (similarity: %.3f)", "similarity")).otherwise("")
