@@ -69,7 +69,7 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     survives the loss of any executor and never recomputes what came before."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
