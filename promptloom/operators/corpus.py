@@ -124,9 +124,13 @@ def validate_user_prompts(prompts: DataFrame) -> DataFrame:
 
 
 def run_summary(phrases: DataFrame, variants: DataFrame) -> DataFrame:
-    """One row: phrases, those with variants, variants, average of those, and the similarities' figures."""
+    """One row: phrases, those with variants, variants, average of those, and the similarities' figures.
+
+    Similarities from -1 to 1 are averaged as decimals, so their mean doesn't hang on the order of the rows."""
+    exact = F.avg(F.col("similarity").try_cast("decimal(38,18)")).cast("double")
     v = variants.agg(
-        F.count_distinct("phrase").alias("with_variants"), F.count("*").alias("variants"), F.avg("similarity").alias("mean_similarity"),
+        F.count_distinct("phrase").alias("with_variants"), F.count("*").alias("variants"),
+        F.when(F.max(F.abs("similarity")) <= 1, exact).otherwise(F.avg("similarity")).alias("mean_similarity"),
         F.stddev_pop("similarity").alias("std_similarity"), F.min("similarity").alias("least_similarity"), F.max("similarity").alias("greatest_similarity"),
     )
     return phrases.agg(F.count("*").alias("total")).join(F.broadcast(v)).withColumn("average", F.try_divide("variants", "with_variants"))
