@@ -36,6 +36,7 @@ class Tokenizer:
     keep their form under NFC and lower case one by one, go to the model directly; others through the whole tokenizer."""
 
     PLAIN = re.compile(r"(?:[A-Za-zÀ-ÖØ-öø-ÿ]|[0-9]|[!-&(-/:-@\[-`{-~])+\Z")
+    PLAIN_WORDS = re.compile(r"[A-Za-zÀ-ÖØ-öø-ÿ0-9!-&(-/:-@\[-`{-~ ]+\Z")
     PART = re.compile(r"[a-zß-öø-ÿ]+|[0-9]|[!-&(-/:-@\[-`{-~]+")
 
     def __init__(self, path: str):
@@ -49,7 +50,8 @@ class Tokenizer:
 
     def part(self, x: str) -> bytes:
         if (got := self.parts.get(x)) is None:
-            got = array("I", [t.id for t in self.model.tokenize(x.encode().decode("latin-1").translate(self.table))]).tobytes()
+            shown = x if x.isascii() else x.encode().decode("latin-1").translate(self.table)
+            got = array("I", [t.id for t in self.model.tokenize(shown)]).tobytes()
             if len(x) <= LONGEST:
                 self.parts[x] = got
         return got
@@ -60,15 +62,30 @@ class Tokenizer:
             return b"".join(map(self.part, self.PART.findall(x.lower())))
         return np.array(self.full.encode(x, add_special_tokens=False).ids, "<u4").tobytes()
 
+    def learn(self, fresh: list[bytes]) -> dict[bytes, bytes]:
+        """Caches words, and returns those that are too long for that. Plain words are looked at together."""
+        words, rare, known, part = self.words, {}, self.parts.get, self.part
+        shown = b" ".join(fresh).decode()
+        if not self.PLAIN_WORDS.match(shown) or "<|" in shown:
+            for x in fresh:
+                (words if len(x) <= LONGEST else rare)[x] = self.word(x)
+            return rare
+        for x, y in zip(fresh, shown.lower().split(" ")):
+            got = known(y) or part(y) if y.isalpha() else b"".join([known(z) or part(z) for z in self.PART.findall(y)])
+            if len(x) <= LONGEST:
+                words[x] = got
+            else:
+                rare[x] = got
+        return rare
+
     def encode(self, text: str) -> bytes:
         words, found = self.words, text.encode().split()  # bytes are cut at ASCII white space only
         if len(words) > CACHE:
             words.clear()
         if len(self.parts) > CACHE:
             self.parts.clear()
-        rare = {}
-        for x in set(found).difference(words):
-            (words if len(x) <= LONGEST else rare)[x] = self.word(x)
+        fresh = set(found).difference(words)
+        rare = self.learn(list(fresh)) if fresh else None
         return b"".join([words[x] if x in words else rare[x] for x in found] if rare else map(words.__getitem__, found))
 
 
