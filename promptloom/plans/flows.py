@@ -35,7 +35,7 @@ def neighbour_paraphrases(phrases: DataFrame, encoder=hashed_embedding, n: int =
     once = phrases.groupBy("phrase").agg(F.min("ord").alias("id"))
     emb = encoder(once, "id", "phrase")
     words = once.select("id", word_count(F.col("phrase")).alias("n"))
-    found = similarity.combined_variants(similarity.similar_pairs(emb), words, n)
+    found = similarity.combined_neighbours(emb, words, n)
     other = once.select(F.col("id").alias("other"), F.col("phrase").alias("variant"))
     return found.join(once, "id").join(other, "other").select("phrase", F.col("pos").alias("variant_no"), "variant", "similarity")
 
@@ -165,10 +165,9 @@ def main(args: list[str] | None = None) -> None:
     else:
         phrases = files.phrases_prefixed(files.whole(spark, a.phrases))
         emb = hashed_embedding(phrases, "ord", "phrase")
-        pairs = similarity.similar_pairs(emb)
-        groups = similarity.clusters(emb).join(phrases.withColumnRenamed("ord", "id"), "id")
+        groups = similarity.clusters(emb, means=True).join(phrases.withColumnRenamed("ord", "id"), "id")
         subset = similarity.diverse_subset(emb, a.subset).join(phrases.select(F.col("ord").alias("id"), "phrase"), "id")
-        report = sinks.similarity_report(similarity.diversity(pairs, phrases), similarity.closest_pairs(pairs), similarity.cluster_stats(groups, pairs), subset)
+        report = sinks.similarity_report(similarity.diversity_of(emb), similarity.closest(emb), similarity.cluster_stats(groups), subset)
         report.orderBy("section", "ord").select("value").write.mode("overwrite").text(a.output)
 
 
