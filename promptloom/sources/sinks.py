@@ -33,7 +33,7 @@ def summary(ranked: DataFrame) -> DataFrame:
 
 def prompt_report(ranked: DataFrame, prompts: DataFrame) -> DataFrame:
     """K3: prompt_id and the report's text."""
-    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase", "kl_score"))), lambda x: F.format_string('%3d. %.6f  "%s"', x["rank"], x["kl_score"], x["phrase"])), "\n")
+    lines = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("rank", "phrase", "kl_score"))), lambda x: F.format_string('%3d. %s  "%s"', x["rank"], decimals(x["kl_score"].cast("double")), x["phrase"])), "\n")
     stats = ranked.groupBy("prompt_id").agg(
         F.count("*").alias("n"), F.avg("kl_score").alias("mean"), F.median("kl_score").alias("median"), F.stddev_pop("kl_score").alias("std"),
         F.min("kl_score").alias("least"), F.max("kl_score").alias("greatest"), lines.alias("lines"),
@@ -93,14 +93,14 @@ def paraphrase_totals(phrases: DataFrame, variants: DataFrame) -> DataFrame:
     s = run_summary(phrases, variants)
     lines = (
         F.format_string("  Total original phrases: %d", "total"), F.format_string("  Phrases with variants: %d", "with_variants"),
-        F.format_string("  Total variants generated: %d", "variants"), F.when(F.col("with_variants") > 0, F.format_string("  Average variants per successful phrase: %.1f", "average")),
+        F.format_string("  Total variants generated: %d", "variants"), F.when(F.col("with_variants") > 0, F.concat(F.lit("  Average variants per successful phrase: "), decimals(F.col("average"), 1))),
     )
     return s.select(F.posexplode(F.array(*lines)).alias("ord", "value")).filter("value is not null")
 
 
 def paraphrase_blocks(variants: DataFrame) -> DataFrame:
     """K7: the blocks that paraphrases() reads, one row a phrase."""
-    score = F.when(F.col("similarity").isNotNull(), F.format_string(" (similarity: %.3f)", "similarity")).otherwise("")
+    score = F.when(F.col("similarity").isNotNull(), F.concat(F.lit(" (similarity: "), decimals(F.col("similarity"), 3), F.lit(")"))).otherwise("")
     line = F.concat(F.format_string('    %d. "%s"', "variant_no", "variant"), score)
     grouped = variants.withColumn("line", line).groupBy("phrase").agg(F.array_sort(F.collect_list(F.struct("variant_no", "line"))).alias("x"))
     no = F.row_number().over(Window.orderBy("phrase"))
@@ -134,7 +134,7 @@ def user_prompt_json(prompts: DataFrame, description: str = "") -> DataFrame:
 def similarity_report(stats: DataFrame, pairs: DataFrame, clusters: DataFrame, subset: DataFrame, shown: int = 15) -> DataFrame:
     """Section, ord, value: diversity figures, the closest pairs, the largest clusters, the diverse subset."""
     figures = stats.select(F.posexplode(F.array(*[F.concat(F.lit(f"{c}: "), F.col(c).cast("string")) for c in stats.columns])).alias("ord", "value")).select(F.lit(1).alias("section"), "ord", "value")
-    close = pairs.select(F.lit(2).alias("section"), F.row_number().over(Window.orderBy(F.desc("similarity"), "a", "b")).alias("ord"), F.format_string("%.3f  %s | %s", "similarity", F.col("a").cast("string"), F.col("b").cast("string")).alias("value"))
-    large = clusters.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("size"), "representative"))).filter(F.col("ord") <= shown).select(F.lit(3).alias("section"), "ord", F.format_string("%d  %.3f  %s", "size", "avg_similarity", F.col("representative").cast("string")).alias("value"))
+    close = pairs.select(F.lit(2).alias("section"), F.row_number().over(Window.orderBy(F.desc("similarity"), "a", "b")).alias("ord"), F.format_string("%s  %s | %s", decimals(F.col("similarity"), 3), F.col("a").cast("string"), F.col("b").cast("string")).alias("value"))
+    large = clusters.withColumn("ord", F.row_number().over(Window.orderBy(F.desc("size"), "representative"))).filter(F.col("ord") <= shown).select(F.lit(3).alias("section"), "ord", F.format_string("%d  %s  %s", "size", decimals(F.col("avg_similarity"), 3), F.col("representative").cast("string")).alias("value"))
     chosen = subset.select(F.lit(4).alias("section"), "ord", F.concat(F.col("ord").cast("string"), F.lit(". "), F.col("phrase").cast("string")).alias("value"))
     return figures.unionByName(close).unionByName(large).unionByName(chosen)
