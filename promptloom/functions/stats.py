@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import zlib
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -79,18 +83,44 @@ def kl_divergence(p: DataFrame, q: DataFrame, item: str, p_weight: str, q_weight
 def bootstrap(rows: DataFrame, value: str, key: Column, iterations: int = 1000, level: float = 0.95) -> DataFrame:
     """Percentile interval of the mean: mean, low, high.
 
-    Poisson bootstrap: in each iteration every row counts 0, 1, 2, ... times, by a hash of its key, so resampling is a
-    map with partial sums, without a join; `key` makes it repeatable."""
-    draw = F.pmod(F.crc32(F.concat(F.col("key").cast("string"), F.lit(":"), F.col("it").cast("string")).cast("binary")), F.lit(1_000_003)) / 1_000_003.0
-    times, below, p = F.lit(0), 0.0, 0.36787944117144233
+    Poisson bootstrap: in each iteration every row counts 0, 1, 2, ... times, by the CRC-32 of its key, a colon and the
+    iteration, so resampling is a map with partial sums, without a join or a row for each iteration; `key` makes it
+    repeatable."""
+    below, p = [0.0], 0.36787944117144233
     for k in range(1, 8):
-        below += p
+        below.append(below[-1] + p)
         p /= k
-        times = times + F.when(draw >= below, 1).otherwise(0)
-    means = (
-        rows.select(F.col(value).alias("v"), key.alias("key")).withColumn("it", F.explode(F.sequence(F.lit(1), F.lit(iterations)))).withColumn("c", times)
-        .groupBy("it").agg((F.sum(F.col("v") * F.col("c")) / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
-    )
+    times = np.searchsorted(below[1:], np.arange(1_000_003) / 1_000_003.0, "right").astype(np.uint8)
+    names = [f"{i}".encode() for i in range(1, iterations + 1)]
+
+    def run(batches):
+        # crc32(a + b) is that of a, moved on by the length of b, xor that of b
+        step = np.array([zlib.crc32(bytes(3) + bytes([i])) ^ zlib.crc32(bytes(4)) for i in range(256)], np.uint32)
+        sums, counts, seen, any_value = np.zeros(iterations), np.zeros(iterations, np.int64), False, False
+        for b in batches:
+            for at in range(0, b.num_rows, 8192):
+                value, start = b.column(0).slice(at, 8192), b.column(1).slice(at, 8192)
+                v = value.fill_null(0.0).to_numpy(zero_copy_only=False)
+                moved, known = start.fill_null(0).to_numpy(zero_copy_only=False).astype(np.uint32), start.is_valid().to_numpy(zero_copy_only=False)
+                seen, any_value, length = True, any_value or value.null_count < len(value), 0
+                for i, name in enumerate(names):
+                    while length < len(name):
+                        moved, length = step[moved & np.uint32(255)] ^ (moved >> np.uint32(8)), length + 1
+                    h = moved ^ np.uint32(zlib.crc32(name))
+                    c = times[h - h // np.uint32(1_000_003) * np.uint32(1_000_003)]
+                    if start.null_count:
+                        c = c * known
+                    sums[i] += v @ c.astype(float)
+                    counts[i] += int(c.sum(dtype=np.int64))
+        if seen:
+            yield pa.RecordBatch.from_arrays([pa.array(np.arange(1, iterations + 1, dtype=np.int32)), pa.array(sums if any_value else [None] * iterations, pa.float64()), pa.array(counts)], names=["it", "s", "c"])
+
+    tasks = 3 * rows.sparkSession.sparkContext.defaultParallelism
+    start = F.crc32(F.concat(key.cast("string"), F.lit(":")).cast("binary"))
+    found = rows.select(F.col(value).cast("double").alias("v"), start.alias("h")).repartition(tasks, "h").sortWithinPartitions("h", "v").mapInArrow(run, "it int, s double, c long")
+    # a fixed order of the tasks' sums, so that it is repeatable to the last bit
+    total = F.aggregate(F.array_sort(F.collect_list("s")), F.lit(0.0), lambda x, y: x + y)
+    means = found.groupBy("it").agg((F.when(F.count("s") > 0, total) / F.nullif(F.sum("c"), F.lit(0))).alias("m"))
     ends = means.agg(F.percentile("m", (1 - level) / 2).alias("low"), F.percentile("m", 1 - (1 - level) / 2).alias("high"))
     return rows.agg(F.avg(value).alias("mean")).join(F.broadcast(ends))
 
