@@ -66,9 +66,24 @@ def coalesce_text(*columns: Column) -> Column:
     return F.coalesce(*[F.nullif(c, F.lit("")) for c in columns])
 
 
+def first_rows(rows: DataFrame, order: str, budget: int, ties: list[str]) -> DataFrame:
+    """The first `budget` rows in `order`, nulls first, then in that of `ties`. Only values of `order` meet in one task: the
+    last one that still counts is found first, and whole rows stay where they are but for those of that value."""
+    if budget <= 0:
+        return rows.limit(0)
+    last = rows.select(order).orderBy(order).limit(budget).agg(F.count("*").alias("n"), F.max(F.struct(F.col(order).isNotNull(), F.col(order).alias("v"))).alias("x")).first()
+    if last["n"] < budget:
+        return rows
+    end = F.lit(last["x"]["v"]).cast(rows.schema[order].dataType)
+    before = rows.filter((F.col(order).isNull() & end.isNotNull()) | F.coalesce(F.col(order) < end, F.lit(False)))
+    at = rows.filter(F.col(order).eqNullSafe(end))
+    room, n = budget - before.count(), at.limit(budget + 1).count()
+    return before.unionByName(at if n <= room else at.orderBy(*ties).limit(room))
+
+
 def first_unique(rows: DataFrame, text: str, order: str, n: int = 300, budget: int | None = None) -> DataFrame:
     """L4: the n first distinct texts, by first appearance, of the first `budget` rows in `order`; a distributed top-n."""
-    seen = rows.orderBy(order).limit(budget) if budget is not None else rows
+    seen = first_rows(rows, order, budget, [text]) if budget is not None else rows
     return seen.groupBy(text).agg(F.min(order).alias(order)).orderBy(order).limit(n)
 
 

@@ -61,7 +61,7 @@ def generated_paraphrases(phrases: DataFrame, generation: Generation, encoder=ha
 def sampled_prompts(rows: DataFrame, target: int = 300, low: int = 100, high: int = 1000, budget: int = 50_000) -> DataFrame:
     """Prompt blocks of the first distinct texts of low to high characters among the first `budget` rows(text, at);
     what a data set's download left is read as a stored table."""
-    read = rows.orderBy("at").limit(budget)
+    read = corpus.first_rows(rows, "at", budget, ["text"])
     kept, _ = corpus.length_band(read, "text", low, high)
     found = corpus.renumber(corpus.first_unique(kept, "text", "at", target), "at", "prompt_id")
     return sinks.prompt_blocks(found).orderBy("prompt_id").select("value")
